@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import chat, exact_dedup, mixing, shardmap
+from tarn.llm import bpe, chat, exact_dedup, mixing, shardmap, token_count
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
+TOKEN_LIMIT = 4096
 MIX = mixing.Mix(max_repeats=2.0)
 
 
@@ -62,6 +63,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, MIX).drop("text")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; imported late, as only the two token queries need it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text, encoded and decoded again."""
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decoded=True)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return shardmap.place(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
@@ -94,11 +110,19 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 FROM d JOIN g USING (text_sha256)
 """
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    out = token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_mixing": op3_mixing,
+    "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 
