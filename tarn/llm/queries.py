@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, mixing, shardmap, token_count
+from tarn.llm import bpe, chat, exact_dedup, mixing, ngram_join, shardmap, token_count
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -116,6 +116,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similar shingle sets."""
+    return ngram_join.link_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_mixing": op3_mixing,
@@ -123,6 +128,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 
