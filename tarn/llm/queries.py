@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, mixing, ngram_join, shardmap, token_count
+from tarn.llm import bpe, chat, exact_dedup, mixing, ngram_join, shardmap, spotsigs, token_count
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -63,6 +63,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs, MIX).drop("text")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edit's and the next document's."""
+    out = spotsigs.compare_with_next(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
+
+
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file; imported late, as only the two token queries need it."""
     import public_tokenizers
@@ -124,6 +133,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_mixing": op3_mixing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
