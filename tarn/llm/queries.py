@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, mixing, ngram_join, shardmap, spotsigs, token_count
+from tarn.llm import bpe, chat, exact_dedup, mixing, ngram_join, shardmap, spotsigs, token_count, toxicity
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -57,6 +57,16 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id", (~toxicity.may_learn(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst",
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as the mixed stream reads it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -132,6 +142,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe": op5_bpe,
