@@ -7,8 +7,8 @@ subset of n2 - k2 parts gives one signature, and a similar pair shares at least
 
 Where the work runs: signatures are made where a text is read and leave the task packed by bucket
 (about six bytes each); texts stay where they are. A bucket's task finds the sets that share a
-signature. Texts are read again only for sets that share a signature and that a parity sketch (an exact
-lower bound of the difference) can't tell apart. Sets that are equal are one node from the first
+signature. Texts are hashed again only for sets that share a signature and that a parity sketch (an
+exact lower bound of the difference) can't tell apart. Sets that are equal are one node from the first
 task on, so a group of copies of any size counts as one. Within a signature's group only the
 smallest node is compared with the others; what that leaves in different components is compared
 afterwards, and groups too large for that are dealt anew by finer signatures.
@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.store import save, ship
@@ -39,7 +39,9 @@ BAND = 1.8
 LARGE = 4096
 #: About so many bytes of text for each bucket of signatures.
 BUCKET_BYTES = 16 << 20
-SKETCH_BITS = 1024
+SKETCH_BITS, SKETCH_MOST = 1024, 1 << 16
+#: Bits of the filter that spares texts without a candidate from being hashed again: 16 for each, within these bounds.
+FILTER_BITS = (1 << 20, 1 << 26)
 #: A task packs its signatures once it holds so many.
 PACK = 1 << 20
 NO_ID = 2**63 - 1
@@ -146,9 +148,28 @@ def signatures(shingles: np.ndarray, fine: bool = False) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the counts of SKETCH_BITS classes: two sketches differ in at most as many bits as the sets in elements."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.intp) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(odd).view(np.int64)
+    """Parities of the counts of hash classes, about two classes for each element, as packed 64-bit words.
+
+    Two sets differ in at least as many elements as their sketches, folded to one size, differ in bits.
+    """
+    bits = SKETCH_BITS
+    while bits < len(shingles) * 2 and bits < SKETCH_MOST:
+        bits *= 2
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.intp) % bits, minlength=bits) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (last axis: words) brought to ``size`` words: classes that fall together add their parities."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits along the last axis (counted unsigned: the count of a negative number is another one)."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1, dtype=np.int64)
 
 
 PACKED = "bucket int, sigs binary, ids binary, counts binary, sizes binary, sketches array<array<bigint>>"
@@ -262,33 +283,64 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     u = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     v = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
     num, den = SIMILAR
-
-    def differ(i: int) -> Column:
-        return F.bit_count(F.get("su", F.lit(i)).bitwiseXOR(F.get("sv", F.lit(i))))
-
-    apart = sum((differ(i) for i in range(1, SKETCH_BITS // 64)), differ(0))
     close = F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num
-    most = F.floor((F.col("nu") + F.col("nv")) * (den - num) / F.lit(den + num))
-    return pairs.join(u, "u").join(v, "v").where(close).where(apart <= most).select("u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            sizes = cols["nu"].to_numpy() + cols["nv"].to_numpy()
+            keep = []
+            for a, b, n in zip(cols["su"], cols["sv"], sizes):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                size = min(len(a), len(b))
+                apart = bits_apart(fold(a, size), fold(b, size))
+                keep.append(apart <= n * (den - num) // (den + num))
+            yield pa.RecordBatch.from_arrays([cols["u"], cols["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(u, "u").join(v, "v").where(close).select("u", "v", "nu", "nv", "su", "sv")
+    return joined.mapInArrow(run, "u bigint, v bigint")
+
+
+def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit set of id hashes, of bounded size whatever the number of ids: false alarms only cost time."""
+    bits = FILTER_BITS[0]
+    count = ids.count()
+    while bits < FILTER_BITS[1] and bits < 16 * count:
+        bits *= 2
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    word = F.shiftright(slot, 6).cast("int")
+    mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) & 63 as int))")
+    words = ids.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["m"]
+    return out, bits
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets really are similar enough; texts of only those nodes are read again."""
-    pairs = save(_plausible(pairs, nodes), "pairs")
+    """Pairs whose shingle sets really are similar enough.
+
+    Only texts of those nodes are hashed again. They are found where they are read, by a bit set of
+    their ids; what it lets pass by mistake is dropped by the joins with the pairs.
+    """
+    pairs = save(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    firsts = nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("id"))
+    bitset, bits = _filter_of(save(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("id")), "ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitset)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, group in grouped(batch.column(1).to_pylist()):
+            slot = batch.column(0).to_numpy()
+            hit = np.flatnonzero(shared.value[slot >> 6] >> (slot & 63) & 1)
+            for _, group in grouped(batch.column(1).take(pa.array(hit)).to_pylist()):
                 sets = [s for s in shingle_sets(group) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     names=["node", "shingles"],
                 )
 
-    read = docs.join(firsts, "id", "left_semi").select("id", "text")
-    sets = save(read.mapInArrow(run, "node bigint, shingles array<bigint>"), "sets")
+    read = docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("slot"), "text")
+    sets = save(read.mapInArrow(run, "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi"), "sets")
     # ids may repeat with other texts: several rows of one node hold the same set
     sets = sets.dropDuplicates(["node"])
     num, den = SIMILAR
@@ -326,35 +378,40 @@ def _with_component(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return save(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
 
 
-def _across(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """Pairs of one group that lie in different components and that sizes and sketches can't rule out."""
+def _across(star: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """Pairs that share a smallest node, lie in different components, and that sizes and sketches can't rule out.
+
+    ``star`` has (smallest node, other node) of the groups that are open; a task holds the sketches of
+    the groups of its part, and only pairs that remain leave it.
+    """
     num, den = SIMILAR
 
     def run(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
         us, vs = [], []
-        for _, g in pdf.groupby("list", sort=False):
+        for pivot, g in pdf.groupby("u", sort=False):
             if len(g) < 2:
                 continue
-            g = g.sort_values("n")
+            g = g.sort_values("n", kind="stable")
             node, comp, n = g["node"].to_numpy(), g["component"].to_numpy(), g["n"].to_numpy()
-            bits = np.stack(g["sketch"].to_numpy()).view(np.uint64)
-            for i in range(len(g) - 1):
-                end = np.searchsorted(n, n[i] * den // num, "right")
-                if end <= i + 1:
-                    continue
-                other = slice(i + 1, end)
-                far = np.bitwise_count(bits[other] ^ bits[i]).sum(1, dtype=np.int64)
-                hit = (far * (den + num) <= (n[other] + n[i]) * (den - num)) & (comp[other] != comp[i])
-                us.append(np.full(int(hit.sum()), node[i]))
-                vs.append(node[other][hit])
+            size = g["sketch"].map(len).to_numpy()  # grows with n
+            for words in np.unique(size):
+                # sets of this sketch size, with those of the next size, folded: a partner is at most a third larger
+                first, mine, end = np.searchsorted(size, [words, words + 1, 2 * words + 1])
+                bits = np.stack([fold(x, words) for x in g["sketch"].iloc[first:end]])
+                for i in range(first, mine):
+                    last = np.searchsorted(n, n[i] * den // num, "right")
+                    far = bits_apart(bits[i + 1 - first : last - first], bits[i - first])
+                    other = slice(i + 1, i + 1 + len(far))
+                    hit = (far * (den + num) <= (n[other] + n[i]) * (den - num)) & (comp[other] != comp[i])
+                    us.append(np.full(int(hit.sum()), node[i]))
+                    vs.append(node[other][hit])
         pick = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.Table.from_arrays([pick(us), pick(vs)], names=["u", "v"])
 
-    rows = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("node"))
-    rows = rows.join(nodes.select("node", "n", "sketch", "component"), "node")
-    pairs = rows.withColumn("part", F.pmod("list", F.lit(parts))).groupBy("part").applyInArrow(run, "u bigint, v bigint")
-    return pairs.distinct()
+    rows = star.withColumnRenamed("v", "node").join(nodes.select("node", "n", "sketch", "component"), "node")
+    pairs = rows.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts))).groupBy("part").applyInArrow(run, "u bigint, v bigint")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFrame]:
@@ -372,28 +429,28 @@ def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFr
     )
     lists = found.where("members is not null").select("members")
     # each group's smallest node against the others
-    star = lists.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v")).distinct()
-    links = save(_verified(star, nodes, docs), "links")
+    star = lists.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v"))
+    star = save(star.distinct(), "star")
+    links = save(_verified(_plausible(star, nodes), nodes, docs), "links")
     nodes = _with_component(nodes, links)
-    # groups with a star pair that ended in two components
+    # smallest nodes with a partner that ended in another component
     comp = nodes.select("node", "component")
     apart = star.join(comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(
         comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v"
     ).where("cu <> cv").select("u").distinct()
     open_ = lists.where(F.size("members") > 2).withColumn("u", F.col("members")[0]).join(apart, "u", "left_semi")
-    open_ = save(open_.select("members").distinct(), "open")
-    work = open_ if fine else open_.where(F.size("members") <= LARGE)
-    if not work.isEmpty():
-        more = save(_verified(_across(work, nodes, buckets * 4), nodes, docs), "links")
+    small = open_ if fine else open_.where(F.size("members") <= LARGE)
+    again = save(small.select("u", F.explode("members").alias("v")).distinct(), "open")
+    if not again.isEmpty():
+        more = save(_verified(_across(again, nodes, buckets * 4), nodes, docs), "links")
         links = links.unionByName(more)
         nodes = _with_component(nodes.drop("component"), links)
     if not fine:
-        large = open_.where(F.size("members") > LARGE)
-        if not large.isEmpty():
-            inside = large.select(F.explode("members").alias("node")).distinct()
+        inside = save(open_.where(F.size("members") > LARGE).select(F.explode("members").alias("node")).distinct(), "large")
+        if not inside.isEmpty():
             ids = nodes.join(inside, "node", "left_semi").select(F.col("first").alias("id"))
-            again, _ = _linked(docs.join(ids, "id", "left_semi"), True, bytes_)
-            extra = again.where("component <> node").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            finer, _ = _linked(docs.join(ids, "id", "left_semi"), True, bytes_)
+            extra = finer.where("component <> node").select(F.col("node").alias("u"), F.col("component").alias("v"))
             nodes = _with_component(nodes.drop("component"), links.unionByName(extra))
     return nodes, about
 
@@ -421,3 +478,13 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
         back(F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of its component, all columns.
+
+    Texts without words stay. Ids should be unique: a repeated id stays if any of its rows does.
+    """
+    groups = link_groups(docs, id_col, text_col)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first, F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
