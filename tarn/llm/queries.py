@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, mixing, ngram_join, shardmap, spotsigs, token_count, toxicity
+from tarn.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, shardmap, spotsigs, token_count, toxicity
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -129,6 +129,13 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_s
 FROM d JOIN g USING (text_sha256)
 """
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs))
+    return out.select("doc_id", (~langid.may_learn(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     out = token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -148,6 +155,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_langid": op8_langid,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }

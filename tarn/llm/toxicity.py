@@ -364,6 +364,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 _MEMO: dict[int, dict[str, float]] = {}
 
 
+def _scored(model: Model, texts: pa.Array) -> tuple[list[float], list[str]]:
+    """Score and worst word of each text; decisions of words are kept from task to task, within a bound."""
+    memo = _MEMO.setdefault(hash((model.bias, model.slope, model.shift, float(model.table.sum()))), {})
+    scores, worst = [], []
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at < len(texts) and size < 1 << 20:
+            text = texts[at].as_py() or ""
+            group.append(tokens_of(text))
+            size += len(text)
+            at += 1
+        new = list(set().union(*group) - memo.keys())
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = list(set().union(*group))
+        for a in range(0, len(new), 4000):
+            part = new[a : a + 4000]
+            memo.update(zip(part, model.decisions(part).tolist()))
+        for words in group:
+            w = max(words, key=memo.__getitem__, default="")
+            scores.append(model.probability(memo[w] if w else -5.0))
+            worst.append(core(w))
+    return scores, worst
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, worst`` of every whole text: probability of label 1, and the word it comes from.
 
@@ -372,33 +398,31 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.slope, model.shift))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([named.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("worst", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        memo = _MEMO.setdefault(hash((own.bias, own.slope, own.shift, float(own.table.sum()))), {})
         for batch in batches:
-            texts, scores, worst = batch.column(1), [], []
-            at = 0
-            while at < len(texts):
-                group, size = [], 0
-                while at < len(texts) and size < 1 << 20:
-                    text = texts[at].as_py()
-                    group.append(tokens_of(text))
-                    size += len(text)
-                    at += 1
-                new = list(set().union(*group) - memo.keys())
-                if len(memo) + len(new) > MEMO_WORDS:
-                    memo.clear()
-                    new = list(set().union(*group))
-                for a in range(0, len(new), 4000):
-                    part = new[a : a + 4000]
-                    memo.update(zip(part, own.decisions(part).tolist()))
-                for words in group:
-                    w = max(words, key=memo.__getitem__, default="")
-                    scores.append(own.probability(memo[w] if w else -5.0))
-                    worst.append(core(w))
+            scores, worst = _scored(own, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(worst, pa.string())], names=schema.names)
 
     return named.mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score below ``limit``, all columns, decided where they are read: no shuffle.
+
+    Null and empty texts score as in ``score`` and stay.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.slope, model.shift))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            scores, _ = _scored(own, batch.column(at))
+            yield batch.filter(pa.array(np.array(scores) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
