@@ -1 +1 @@
-"""Functions."""
+"""Column helpers where Spark's function and the wanted meaning differ."""

@@ -1 +1 @@
-"""Plans."""
+"""Registered queries, the flagship, and the pipeline runner."""

@@ -1,4 +1,6 @@
 """Every registered query and its DuckDB equivalent."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tarn.plans import queries_history, queries_marts, queries_merge, queries_quality, queries_streams  # noqa: F401
+from tarn.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

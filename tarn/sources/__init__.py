@@ -1 +1 @@
-"""Sources."""
+"""Readers of tables, files and landing zones, and writers."""
