@@ -39,7 +39,7 @@ BAND = 1.8
 LARGE = 4096
 #: About so many bytes of text for each bucket of signatures.
 BUCKET_BYTES = 16 << 20
-SKETCH_BITS, SKETCH_MOST = 1024, 1 << 16
+SKETCH_BITS, SKETCH_MOST = 512, 1 << 16
 #: Bits of the filter that spares texts without a candidate from being hashed again: 16 for each, within these bounds.
 FILTER_BITS = (1 << 20, 1 << 26)
 #: A task packs its signatures once it holds so many.
@@ -148,12 +148,12 @@ def signatures(shingles: np.ndarray, fine: bool = False) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the counts of hash classes, about two classes for each element, as packed 64-bit words.
+    """Parities of the counts of hash classes, at least one class for each element, as packed 64-bit words.
 
     Two sets differ in at least as many elements as their sketches, folded to one size, differ in bits.
     """
     bits = SKETCH_BITS
-    while bits < len(shingles) * 2 and bits < SKETCH_MOST:
+    while bits < len(shingles) and bits < SKETCH_MOST:
         bits *= 2
     odd = np.bincount((shingles >> np.uint64(20)).astype(np.intp) % bits, minlength=bits) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
@@ -179,10 +179,11 @@ FOUND = "doc_id bigint, node bigint, n bigint, sketch array<bigint>, members arr
 def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
     """Rows of signatures by bucket, and rows that describe documents (``sigs`` null)."""
 
-    def pack(held: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
-        nodes = np.array([n for n, _ in held], np.int64)
-        sig = np.concatenate([s for _, s in held])
-        own = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+    def pack(held: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple]:
+        nodes = np.array([n for n, _, _ in held], np.int64)
+        sizes = np.array([k for _, k, _ in held], np.uint32)
+        sig = np.concatenate([s for _, _, s in held])
+        own = np.repeat(np.arange(len(held)), [len(s) for _, _, s in held])
         bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
         order = np.argsort(bucket, kind="stable")
         sig, own, bucket = sig[order], own[order], bucket[order]
@@ -190,7 +191,7 @@ def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
         for a, b in zip([0, *cuts], [*cuts, len(sig)]):
             mine, counts = np.unique(own[a:b], return_counts=True)
             low = np.ascontiguousarray(sig[a:b]).view(np.uint8).reshape(-1, 8)[:, :5]
-            yield int(bucket[a]), low.tobytes(), nodes[mine].tobytes(), counts.astype(np.uint32).tobytes(), None, None
+            yield int(bucket[a]), low.tobytes(), nodes[mine].tobytes(), counts.astype(np.uint32).tobytes(), sizes[mine].tobytes(), None
 
     def about(held: list[tuple[int, int, int, np.ndarray | None]]) -> tuple:
         ids = np.array([[d, n] for d, n, _, _ in held], np.int64)
@@ -220,7 +221,7 @@ def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
                         seen.add(node)
                         sigs = signatures(shingles, fine)
                         if len(sigs):
-                            held.append((node, sigs))
+                            held.append((node, len(shingles), sigs))
                             many += len(sigs)
                     if many >= PACK:
                         yield batch_of(list(pack(held)))
@@ -236,11 +237,30 @@ def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
+def _members(sig: np.ndarray, node: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Distinct groups of nodes with one signature, cut where the next larger set is too large to be similar."""
+    if not len(sig):
+        return []
+    order = np.lexsort((node, size, sig))
+    sig, node, size = sig[order], node[order], size[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+    sig, node, size = sig[fresh], node[fresh], size[fresh]
+    num, den = SIMILAR
+    cut = np.concatenate([[True], (sig[1:] != sig[:-1]) | (size[:-1] * den < size[1:] * num)])
+    group = np.cumsum(cut)
+    node = node[np.lexsort((node, group))]
+    start = np.flatnonzero(cut)
+    many = np.diff(np.append(start, len(node)))
+    names = np.add.reduceat(mix(node.view(np.uint64)), start)
+    start, many, names = start[many > 1], many[many > 1], names[many > 1]
+    return [node[start[k] : start[k] + many[k]] for k in np.unique(names, return_index=True)[1]]
+
+
 def _groups(packed: DataFrame) -> DataFrame:
     """Documents with their nodes, and the distinct groups of nodes that share a signature."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, sigs, nodes = [], [], []
+        docs, sigs, nodes, sizes = [], [], [], []
         for row in table.to_pylist():
             if row["sigs"] is None:
                 ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
@@ -250,25 +270,15 @@ def _groups(packed: DataFrame) -> DataFrame:
             wide = np.zeros((len(low), 8), np.uint8)
             wide[:, :5] = low
             sigs.append(wide.view(np.uint64).ravel())
-            nodes.append(np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.uint32)))
+            counts = np.frombuffer(row["counts"], np.uint32)
+            nodes.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
+            sizes.append(np.repeat(np.frombuffer(row["sizes"], np.uint32), counts))
         if sigs:
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            sig, node, size = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
             order = np.argsort(sig, kind="stable")
-            sig, node = sig[order], node[order]
-            same = sig[1:] == sig[:-1]
-            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            sig, node = sig[shared], node[shared]
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            if len(sig):
-                keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-                sig, node = sig[keep], node[keep]
-                start = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
-                size = np.diff(np.append(start, len(sig)))
-                names = np.add.reduceat(mix(node.view(np.uint64)), start)
-                start, size, names = start[size > 1], size[size > 1], names[size > 1]
-                for k in np.unique(names, return_index=True)[1]:
-                    docs.append((None, None, None, None, node[start[k] : start[k] + size[k]].tolist()))
+            same = sig[order][1:] == sig[order][:-1]
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            docs += [(None, None, None, None, x.tolist()) for x in _members(sig[order], node[order], size[order])]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         columns = list(zip(*docs)) if docs else [[]] * 5
         return pa.Table.from_arrays(
@@ -297,7 +307,8 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep.append(apart <= n * (den - num) // (den + num))
             yield pa.RecordBatch.from_arrays([cols["u"], cols["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(u, "u").join(v, "v").where(close).select("u", "v", "nu", "nv", "su", "sv")
+    near = pairs.join(u.select("u", "nu"), "u").join(v.select("v", "nv"), "v").where(close)
+    joined = near.join(u.select("u", "su"), "u").join(v.select("v", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
     return joined.mapInArrow(run, "u bigint, v bigint")
 
 
@@ -373,12 +384,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
 
 
-def _with_component(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return save(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
-
-
-def _across(star: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+def _across(star: DataFrame, nodes: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Pairs that share a smallest node, lie in different components, and that sizes and sketches can't rule out.
 
     ``star`` has (smallest node, other node) of the groups that are open; a task holds the sketches of
@@ -409,13 +415,14 @@ def _across(star: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
         pick = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.Table.from_arrays([pick(us), pick(vs)], names=["u", "v"])
 
-    rows = star.withColumnRenamed("v", "node").join(nodes.select("node", "n", "sketch", "component"), "node")
+    rows = star.withColumnRenamed("v", "node").join(nodes.select("node", "n", "sketch"), "node").join(found, "node", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "node"))
     pairs = rows.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts))).groupBy("part").applyInArrow(run, "u bigint, v bigint")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes with components, and the documents with their nodes."""
+def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, the documents with their nodes, and the components of linked nodes."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, math.ceil(bytes_ / BUCKET_BYTES))
@@ -432,27 +439,28 @@ def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFr
     star = lists.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v"))
     star = save(star.distinct(), "star")
     links = save(_verified(_plausible(star, nodes), nodes, docs), "links")
-    nodes = _with_component(nodes, links)
+    found = save(components(links), "components")
     # smallest nodes with a partner that ended in another component
-    comp = nodes.select("node", "component")
-    apart = star.join(comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(
-        comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v"
-    ).where("cu <> cv").select("u").distinct()
-    open_ = lists.where(F.size("members") > 2).withColumn("u", F.col("members")[0]).join(apart, "u", "left_semi")
-    small = open_ if fine else open_.where(F.size("members") <= LARGE)
-    again = save(small.select("u", F.explode("members").alias("v")).distinct(), "open")
+    large = save(lists.where(F.size("members") > LARGE), "large")
+    work = star if fine or large.isEmpty() else lists.where(F.size("members") <= LARGE).select(
+        F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v")).distinct()
+    mark = work.join(found.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").join(
+        found.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+    mark = mark.withColumn("away", ~F.coalesce("cu", "u").eqNullSafe(F.coalesce("cv", "v")))
+    # a pair alone was compared already
+    open_ = mark.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).where("away and n > 1").select("u")
+    again = work.join(open_, "u", "left_semi")
+    again = save(again.unionByName(open_.select("u", F.col("u").alias("v"))), "open")
     if not again.isEmpty():
-        more = save(_verified(_across(again, nodes, buckets * 4), nodes, docs), "links")
+        more = save(_verified(_across(again, nodes, found, buckets * 4), nodes, docs), "links")
         links = links.unionByName(more)
-        nodes = _with_component(nodes.drop("component"), links)
-    if not fine:
-        inside = save(open_.where(F.size("members") > LARGE).select(F.explode("members").alias("node")).distinct(), "large")
-        if not inside.isEmpty():
-            ids = nodes.join(inside, "node", "left_semi").select(F.col("first").alias("id"))
-            finer, _ = _linked(docs.join(ids, "id", "left_semi"), True, bytes_)
-            extra = finer.where("component <> node").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            nodes = _with_component(nodes.drop("component"), links.unionByName(extra))
-    return nodes, about
+        found = save(components(links), "components")
+    if not fine and not large.isEmpty():
+        inside = large.select(F.explode("members").alias("node")).distinct()
+        ids = nodes.join(inside, "node", "left_semi").select(F.col("first").alias("id"))
+        _, _, finer = _linked(docs.join(ids, "id", "left_semi"), True, bytes_)
+        found = save(components(links.unionByName(finer.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+    return nodes, about, found
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -467,10 +475,11 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
     )
     bytes_ = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    nodes, about = _linked(own, False, bytes_)
-    firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    # alone in its component: the first document of the node; few nodes need the second join
-    labelled = save(nodes.select("node", "component").join(firsts, "component").select("node", "component_id"), "labels")
+    nodes, about, found = _linked(own, False, bytes_)
+    placed = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = save(placed, "placed")
+    firsts = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    labelled = save(placed.join(firsts, "component").select("node", "component_id"), "labels")
     # a node may hold a third of all documents: AQE splits that side of the join
     out = about.join(labelled, "node", "left")
     back = lambda c: F.when(c != NO_ID, c)
