@@ -16,7 +16,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
             return round(v, 6)
