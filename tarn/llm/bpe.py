@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.merging import NO_RANK, SHORT, Memo, merge_heap
-from tarn.llm.store import ship
+from tarn.llm.store import kept, ship
 
 #: The Unicode White_Space characters.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -110,15 +110,13 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-_MADE: dict[int, ByteBPE] = {}
-
-
 def _coder(raw: bytes) -> ByteBPE:
     """One coder for each Python worker, so that its memo lives on from task to task."""
+    made = kept("bpe")
     key = hash(raw)
-    if key not in _MADE:
-        _MADE[key] = ByteBPE(raw)
-    return _MADE[key]
+    if key not in made:
+        made[key] = ByteBPE(raw)
+    return made[key]
 
 
 def _vocabulary(df: DataFrame, path: str):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.store import ship
+from tarn.llm.store import kept, ship
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -185,9 +185,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     return train(x, np.array([languages.index(lang) for lang, _ in got]), languages)
 
 
-_MADE: dict[int, Scorer] = {}
-
-
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text: the likeliest language and its probability.
 
@@ -202,7 +199,8 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         key = 0 if own is None else hash(own.out.tobytes())
-        scorer = None if own is None else _MADE.get(key) or _MADE.setdefault(key, Scorer(own))
+        made = kept("langid")
+        scorer = None if own is None else made.get(key) or made.setdefault(key, Scorer(own))
         for batch in batches:
             texts = batch.column(1)
             langs: list[str] = [UNKNOWN] * len(texts)

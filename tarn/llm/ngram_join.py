@@ -8,10 +8,11 @@ subset of n2 - k2 parts gives one signature, and a similar pair shares at least
 Where the work runs: signatures are made where a text is read and leave the task packed by bucket
 (about six bytes each); texts stay where they are. A bucket's task finds the sets that share a
 signature. Texts are hashed again only for sets that share a signature and that a parity sketch (an
-exact lower bound of the difference) can't tell apart. Sets that are equal are one node from the first
-task on, so a group of copies of any size counts as one. Within a signature's group only the
-smallest node is compared with the others; what that leaves in different components is compared
-afterwards, and groups too large for that are dealt anew by finer signatures.
+exact lower bound of the difference) can't tell apart. Sets that are equal are one node from the
+first task on, so a group of copies of any size counts as one. A group that shares a signature is
+first joined by a spanning forest of its plausible pairs; only where a tree falls apart when its
+edges are verified are all its pairs across components compared. Groups too large for that are dealt
+anew by finer signatures.
 """
 
 from __future__ import annotations
@@ -27,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.store import save, ship
+from tarn.llm.store import kept, save, ship
 from tarn.llm.words import grouped, mix, word_hashes
 
 WORDS = 5
 #: Similarity limit as a fraction: 75 of 100.
 SIMILAR = (75, 100)
 #: Bands of sizes: each upper end is about this many times the lower.
-BAND = 1.8
+BAND = 1.5
 #: Groups with more members than this are dealt anew by finer signatures.
 LARGE = 4096
 #: About so many bytes of text for each bucket of signatures.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 SKETCH_BITS, SKETCH_MOST = 512, 1 << 16
 #: Bits of the filter that spares texts without a candidate from being hashed again: 16 for each, within these bounds.
 FILTER_BITS = (1 << 20, 1 << 26)
@@ -206,11 +207,12 @@ def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("ngram_join")
         seen: set[int] = set()  # nodes of this task
         held, many, told = [], 0, []
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, group in grouped(batch.column(1).to_pylist()):
+            for first, group in grouped(batch.column(1)):
                 for k, shingles in enumerate(shingle_sets(group)):
                     new = len(shingles) and (node := node_of(shingles)) not in seen
                     if not len(shingles):
@@ -260,6 +262,7 @@ def _groups(packed: DataFrame) -> DataFrame:
     """Documents with their nodes, and the distinct groups of nodes that share a signature."""
 
     def run(table: pa.Table) -> pa.Table:
+        kept("ngram_join")
         docs, sigs, nodes, sizes = [], [], [], []
         for row in table.to_pylist():
             if row["sigs"] is None:
@@ -288,30 +291,6 @@ def _groups(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, FOUND)
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) that sizes and sketches can't rule out."""
-    u = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
-    v = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    num, den = SIMILAR
-    close = F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            sizes = cols["nu"].to_numpy() + cols["nv"].to_numpy()
-            keep = []
-            for a, b, n in zip(cols["su"], cols["sv"], sizes):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                size = min(len(a), len(b))
-                apart = bits_apart(fold(a, size), fold(b, size))
-                keep.append(apart <= n * (den - num) // (den + num))
-            yield pa.RecordBatch.from_arrays([cols["u"], cols["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    near = pairs.join(u.select("u", "nu"), "u").join(v.select("v", "nv"), "v").where(close)
-    joined = near.join(u.select("u", "su"), "u").join(v.select("v", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
-    return joined.mapInArrow(run, "u bigint, v bigint")
-
-
 def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A bit set of id hashes, of bounded size whatever the number of ids: false alarms only cost time."""
     bits = FILTER_BITS[0]
@@ -384,41 +363,57 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
 
 
-def _across(star: DataFrame, nodes: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """Pairs that share a smallest node, lie in different components, and that sizes and sketches can't rule out.
+def _compared(star: DataFrame, nodes: DataFrame, found: DataFrame | None, parts: int) -> DataFrame:
+    """``pivot, u, v``: pairs inside the groups of ``star`` that sizes and sketches can't rule out.
 
-    ``star`` has (smallest node, other node) of the groups that are open; a task holds the sketches of
-    the groups of its part, and only pairs that remain leave it.
+    ``star`` has (smallest node, other node) of groups; a task holds the sketches of the groups of its
+    part. Without components a group gives a spanning forest of its plausible pairs, so never more pairs than
+    members; with ``found`` (node, component) it gives all plausible pairs across components.
     """
     num, den = SIMILAR
+    forest = found is None
 
     def run(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas()
-        us, vs = [], []
-        for pivot, g in pdf.groupby("u", sort=False):
-            if len(g) < 2:
-                continue
-            g = g.sort_values("n", kind="stable")
-            node, comp, n = g["node"].to_numpy(), g["component"].to_numpy(), g["n"].to_numpy()
-            size = g["sketch"].map(len).to_numpy()  # grows with n
-            for words in np.unique(size):
+        pivot, node, n, comp = (table[c].to_numpy() for c in ("pivot", "node", "n", "component"))
+        held = table["sketch"].combine_chunks()
+        at, words = held.offsets.to_numpy(), held.values.to_numpy()
+        order = np.lexsort((n, pivot))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(pivot[order]) != 0])) if len(order) else []
+        ps, us, vs = [], [], []
+        for a, b in zip(start, [*start[1:], len(order)]):
+            rows = order[a:b]
+            size, many = at[rows + 1] - at[rows], n[rows]  # sketches grow with n
+            label = np.arange(b - a) if forest else comp[rows]
+            for width in np.unique(size):
                 # sets of this sketch size, with those of the next size, folded: a partner is at most a third larger
-                first, mine, end = np.searchsorted(size, [words, words + 1, 2 * words + 1])
-                bits = np.stack([fold(x, words) for x in g["sketch"].iloc[first:end]])
+                first, mine, end = np.searchsorted(size, [width, width + 1, 2 * width + 1])
+                bits = np.stack([fold(words[at[r] : at[r + 1]], width) for r in rows[first:end]])
                 for i in range(first, mine):
-                    last = np.searchsorted(n, n[i] * den // num, "right")
+                    last = np.searchsorted(many, many[i] * den // num, "right")
+                    if last <= i + 1:
+                        continue
                     far = bits_apart(bits[i + 1 - first : last - first], bits[i - first])
-                    other = slice(i + 1, i + 1 + len(far))
-                    hit = (far * (den + num) <= (n[other] + n[i]) * (den - num)) & (comp[other] != comp[i])
-                    us.append(np.full(int(hit.sum()), node[i]))
-                    vs.append(node[other][hit])
-        pick = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.Table.from_arrays([pick(us), pick(vs)], names=["u", "v"])
-
-    rows = star.withColumnRenamed("v", "node").join(nodes.select("node", "n", "sketch"), "node").join(found, "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
-    pairs = rows.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts))).groupBy("part").applyInArrow(run, "u bigint, v bigint")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+                    other = np.arange(i + 1, i + 1 + len(far))
+                    hit = other[(far * (den + num) <= (many[other] + many[i]) * (den - num)) & (label[other] != label[i])]
+                    if forest and len(hit):
+                        joined, one = np.unique(label[hit], return_index=True)
+                        hit = hit[one]
+                        label[np.isin(label, joined)] = label[i]
+                    ps.append(np.full(len(hit), pivot[rows[0]]))
+                    us.append(np.full(len(hit), node[rows[i]]))
+                    vs.append(node[rows[hit]])
+        out = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (ps, us, vs)]
+        return pa.Table.from_arrays(out, names=["pivot", "u", "v"])
+
+    own = star.select("u").distinct().withColumn("v", F.col("u"))
+    rows = star.unionByName(own).select(F.col("u").alias("pivot"), F.col("v").alias("node"))
+    if found is None:
+        rows = rows.withColumn("component", F.col("node"))
+    else:
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
+    pairs = rows.withColumn("part", F.pmod(F.xxhash64("pivot"), F.lit(parts))).groupBy("part").applyInArrow(run, "pivot bigint, u bigint, v bigint")
+    return pairs.select("pivot", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -435,25 +430,22 @@ def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFr
         "nodes",
     )
     lists = found.where("members is not null").select("members")
-    # each group's smallest node against the others
-    star = lists.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v"))
+    # Each group by its smallest node; groups with the same smallest node are compared as one.
+    large = save(lists.where(F.size("members") > LARGE), "large")
+    rest = lists if fine or large.isEmpty() else lists.where(F.size("members") <= LARGE)
+    star = rest.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v"))
     star = save(star.distinct(), "star")
-    links = save(_verified(_plausible(star, nodes), nodes, docs), "links")
+    trees = save(_compared(star, nodes, None, buckets * 4), "trees")
+    links = save(_verified(trees.select("u", "v").distinct(), nodes, docs), "links")
     found = save(components(links), "components")
-    # smallest nodes with a partner that ended in another component
-    large = save(lists.where(F.size("members") > LARGE), "large")
-    work = star if fine or large.isEmpty() else lists.where(F.size("members") <= LARGE).select(
-        F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, 1 << 30)).alias("v")).distinct()
-    mark = work.join(found.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").join(
-        found.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-    mark = mark.withColumn("away", ~F.coalesce("cu", "u").eqNullSafe(F.coalesce("cv", "v")))
-    # a pair alone was compared already
-    open_ = mark.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).where("away and n > 1").select("u")
-    again = work.join(open_, "u", "left_semi")
-    again = save(again.unionByName(open_.select("u", F.col("u").alias("v"))), "open")
+    # Groups in which a tree's edge ended in two components: only there can a link still be missing.
+    ends = trees.join(found.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(
+        found.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    open_ = ends.where(~F.coalesce("cu", "u").eqNullSafe(F.coalesce("cv", "v"))).select(F.col("pivot").alias("u")).distinct()
+    again = save(star.join(open_, "u", "left_semi"), "open")
     if not again.isEmpty():
-        more = save(_verified(_across(again, nodes, found, buckets * 4), nodes, docs), "links")
-        links = links.unionByName(more)
+        more = _compared(again, nodes, found, buckets * 4).select("u", "v").distinct()
+        links = links.unionByName(save(_verified(more, nodes, docs), "links"))
         found = save(components(links), "components")
     if not fine and not large.isEmpty():
         inside = large.select(F.explode("members").alias("node")).distinct()

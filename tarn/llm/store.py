@@ -47,3 +47,16 @@ def ship(spark: SparkSession) -> None:
             z.write(path, f"{root.name}/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task; other operators' share is let go.
+
+    Workers are reused by later stages, whose memory must not hold the memos of earlier ones.
+    """
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})

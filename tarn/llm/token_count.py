@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.merging import NO_RANK, SHORT, Memo, merge_heap
-from tarn.llm.store import ship
+from tarn.llm.store import kept, ship
 
 BLANK = "▁"
 MEMO_WORDS = 1_000_000
@@ -83,14 +83,12 @@ def prove(path: str) -> Pieces:
     return Pieces({sp.id_to_piece(i): place[sp.get_score(i)] for i in normal})
 
 
-_MADE: dict[int, Pieces] = {}
-
-
 def _counter(raw: bytes) -> Pieces:
+    made = kept("token_count")
     key = hash(raw)
-    if key not in _MADE:
-        _MADE[key] = Pieces(*pickle.loads(raw))
-    return _MADE[key]
+    if key not in made:
+        made[key] = Pieces(*pickle.loads(raw))
+    return made[key]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

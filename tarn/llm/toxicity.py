@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.store import ship
+from tarn.llm.store import kept, ship
 
 #: Labelled rows of each class that training takes at most; the choice is by a hash of the id.
 SAMPLE = 1500
@@ -42,7 +42,7 @@ SYMBOLS = 64
 #: Words are scored in stretches of so many characters; longer ones in several that overlap.
 STRETCH = 30
 OVERLAP = 8
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 #: Cost of all training words of one side.
 STRICT = 100_000
 #: Characters that stand for letters.
@@ -209,7 +209,8 @@ def _train_words(positive: dict[str, int], negative: dict[str, int], marks: list
     seen = np.array([*positive.values(), *negative.values()], float)
     cost = np.sqrt(seen)
     for side in (1, -1):
-        cost[y == side] *= STRICT / cost[y == side].sum()
+        if (y == side).any():
+            cost[y == side] *= STRICT / cost[y == side].sum()
     w, bias = _machine(_kernel(words, padded, lookup) @ whiten, y, cost)
     table = np.zeros(SYMBOLS**3, np.float32)
     table[used] = dense @ (whiten @ w).astype(np.float32)
@@ -361,12 +362,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return train(texts, (float(counts.get(1, 0)), float(counts.get(0, 0))))
 
 
-_MEMO: dict[int, dict[str, float]] = {}
-
-
 def _scored(model: Model, texts: pa.Array) -> tuple[list[float], list[str]]:
     """Score and worst word of each text; decisions of words are kept from task to task, within a bound."""
-    memo = _MEMO.setdefault(hash((model.bias, model.slope, model.shift, float(model.table.sum()))), {})
+    memo = kept("toxicity").setdefault(hash((model.bias, model.slope, model.shift, float(model.table.sum()))), {})
     scores, worst = [], []
     at = 0
     while at < len(texts):

@@ -31,11 +31,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def grouped(texts: Sequence[str | None], size: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, encoded texts) of groups of about ``size`` bytes; null is empty."""
+def grouped(texts: Sequence, size: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, encoded texts) of groups of about ``size`` bytes; null is empty.
+
+    Texts are strings, or an Arrow array, whose texts then are Python objects one group at a time.
+    """
     group: list[bytes] = []
     held = 0
     for k, text in enumerate(texts):
+        text = text if text is None or isinstance(text, str) else text.as_py()
         group.append((text or "").encode("utf-8", "surrogatepass"))
         held += len(group[-1])
         if held >= size:
