@@ -1,8 +1,9 @@
 """SpotSigs document fingerprints: chains of content words that follow common-word anchors.
 
 Each anchor (a frequent short word) starts chains: the anchor with the next content words at a fixed
-distance. The set of chains is the fingerprint. Anchors sit in prose and hardly in boilerplate, so
-likeness of fingerprints follows the prose. For joining, sets are partitioned by length: two sets can
+distance. The set of chains is the fingerprint, with the pairs of neighbouring words where no chain
+reaches, so that one anchor more or less changes only what is near it. Anchors sit in prose and hardly in
+boilerplate, so likeness of fingerprints follows the prose. For joining, sets are partitioned by length: two sets can
 only be similar enough if their lengths are, so only the same and the next partition meet, and a
 pair's Jaccard is given up as soon as the lengths or what is left of the shorter set rule it out.
 """
@@ -40,30 +41,38 @@ def _hashes_of(words: list[str]) -> np.ndarray:
 def spot_sets(texts: list[bytes], anchors: np.ndarray, chain: int = CHAIN, distances: tuple[int, ...] = DISTANCES) -> list[np.ndarray]:
     """Sorted distinct 64-bit chains of each text.
 
-    A chain needs all its content words inside the text. In a text without any chain every word is
-    an anchor followed by the next word, a lone word by nothing; a text without words has no signature.
+    Anchors are read without the signs around them. A chain needs all its content words inside the
+    text and covers the words from its anchor to its last one. Of words that no chain covers, each is
+    an anchor followed by the next word, a lone word of a text by nothing; a text without words has no signature.
     """
-    words, at = word_hashes(texts)
+    words, at, cores = word_hashes(texts, cores=True)
     if not len(words):
         return [words] * len(texts)
-    place = np.searchsorted(anchors, words)
-    common = anchors[np.minimum(place, len(anchors) - 1)] == words
+    place = np.searchsorted(anchors, cores)
+    common = anchors[np.minimum(place, len(anchors) - 1)] == cores
     content = np.flatnonzero(~common)
     spots = np.flatnonzero(common)
     text_of = np.repeat(np.arange(len(texts)), np.diff(at))
     after = np.searchsorted(content, spots)
     found, owner = [], []
+    open_ = np.zeros(len(words) + 1, np.int64)  # chains that begin at a word, less those that ended before it
     for d in distances:
         last = after + d * (chain - 1)
         ok = last < len(content)
         spot, first = spots[ok], after[ok]
         inside = text_of[content[first + d * (chain - 1)]] == text_of[spot]
         spot, first = spot[inside], first[inside]
-        sig = words[spot] + np.uint64(d)
+        np.add.at(open_, spot, 1)
+        np.add.at(open_, content[first + d * (chain - 1)] + 1, -1)
+        sig = cores[spot] + np.uint64(d)
         for k in range(chain):
             sig = mix(sig * np.uint64(0x2545F4914F6CDD1D) + words[content[first + d * k]])
         found.append(sig)
         owner.append(text_of[spot])
+    bare = np.cumsum(open_[:-1]) == 0
+    pair = np.flatnonzero(bare[:-1] & bare[1:] & (text_of[:-1] == text_of[1:]))
+    found.append(mix(words[pair] * np.uint64(0x2545F4914F6CDD1D) + words[pair + 1]))
+    owner.append(text_of[pair])
     sig, owners = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
     sig, owners = sig[order], owners[order]
@@ -71,10 +80,7 @@ def spot_sets(texts: list[bytes], anchors: np.ndarray, chain: int = CHAIN, dista
     out = []
     for k in range(len(texts)):
         mine = sig[cuts[k] : cuts[k + 1]]
-        if not len(mine) and at[k + 1] > at[k]:
-            own = words[at[k] : at[k + 1]]
-            mine = mix(own[:-1] * np.uint64(0x2545F4914F6CDD1D) + own[1:]) if len(own) > 1 else own
-        out.append(np.unique(mine))
+        out.append(np.unique(mine if len(mine) else words[at[k] : at[k + 1]]))
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -49,11 +51,26 @@ def grouped(texts: Sequence, size: int = GROUP_BYTES) -> Iterator[tuple[int, lis
         yield len(texts) - len(group), group
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _signs() -> np.ndarray:
+    """Whether each code point is neither letter, mark nor number."""
+    return np.array([unicodedata.category(chr(k))[0] not in "LMN" for k in range(0x110000)])
+
+
+def _sign_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text belongs to a sign or white space."""
+    if data.max() < 128:
+        return _signs()[:128][data]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _signs()[points][np.cumsum(data & 0xC0 != 0x80) - 1]
+
+
+def word_hashes(texts: list[bytes], cores: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of the words of all texts in a row, and where each text's words begin (one more entry than texts).
 
     Words are what lies between ASCII white space, with A-Z lower-cased; equal words have equal
     hashes wherever they stand: a prefix sum of letters times powers, divided by the power at the start.
+    With ``cores`` also the hashes of the words without the signs around them; words of signs alone stay whole.
     """
     data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
     gap = _SPACE[data]
@@ -62,7 +79,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], edge])
     start, end = edge[::2], edge[1::2]
     sums = np.cumsum(_LETTER[data] * _powers(_BASE, len(data)), dtype=np.uint64)
-    total = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
-    hashes = mix(total * _powers(pow(_BASE, -1, 2**64), len(data))[start])
+
+    def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
+        return mix(total * _powers(pow(_BASE, -1, 2**64), len(data))[start])
+
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.concatenate([[0], np.searchsorted(start, ends)])
+    out = hashed(start, end), np.concatenate([[0], np.searchsorted(start, ends)])
+    if not cores:
+        return out
+    signs = _sign_bytes(data)
+    core = out[0].copy()
+    own = np.flatnonzero(signs[start] | signs[end - 1]) if len(start) else start
+    inner = np.flatnonzero(~signs)
+    first, last = np.searchsorted(inner, start[own]), np.searchsorted(inner, end[own])
+    own, first, last = own[first < last], first[first < last], last[first < last]
+    core[own] = hashed(inner[first], inner[last - 1] + 1)
+    return *out, core

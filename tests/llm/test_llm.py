@@ -177,6 +177,21 @@ def test_spot_chains_follow_anchors():
     assert spotsigs.likeness(one, one) == 1 and spotsigs.likeness(one, one[:1], 0.75) == 0
 
 
+def test_spots_where_anchors_are_few_or_signed():
+    keys = spotsigs._hashes_of(["the", "of", "que"])
+    spots = lambda t: spotsigs.spot_sets([t.encode()], keys)[0]
+    plain = [f"w{k}" for k in range(200)]
+    gained = [*plain[:150], "the", *plain[150:]]
+    assert spotsigs.likeness(spots(" ".join(plain)), spots(" ".join(gained))) > 0.95
+    # the words that a text's only chain leaves are in the fingerprint, too
+    assert spotsigs.likeness(spots(" ".join(gained)), spots(" ".join(gained[100:]))) > 0.4
+    assert len(spots(" ".join(gained))) > 190
+    # signs around an anchor, in one byte or several
+    assert set(spots("THE!! cat sat")) == set(spots("the cat sat")) == set(spots("«the» cat sat"))
+    assert set(spots("x of| dogs run")) == set(spots("x of dogs run")) and set(spots("que\u0301 dogs run")) != set(spots("que dogs run"))
+    assert len(spots("!!! ... |")) == 2 and len(spots("!!!")) == 1
+
+
 def test_spot_pairs_equal_brute_force(spark, docs):
     base = docs.where("doc_id % 2 = 0").select("doc_id", "text")
     edited = base.select((F.col("doc_id") + 100_000).alias("doc_id"), F.concat("text", F.lit(" and a last line")).alias("text"))
