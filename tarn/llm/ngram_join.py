@@ -37,6 +37,8 @@ SIMILAR = (75, 100)
 BAND = 1.8
 #: Groups with more members than this are dealt anew by finer signatures.
 LARGE = 4096
+#: Members of one star that a task compares with as many others at most, about.
+BLOCK = 2048
 #: About so many bytes of text for each bucket of signatures.
 BUCKET_BYTES = 16 << 20
 SKETCH_BITS, SKETCH_MOST = 512, 1 << 16
@@ -99,7 +101,9 @@ def level(band: int, fine: bool) -> Level:
     high = max(low + 1, int(low * BAND)) - 1
     k = most_apart(high, high)
     if k <= 3:
-        n1, k2, n2 = 1, k, k + 2 if k else 1
+        n1, k2, n2 = 1, k, k + (4 if fine else 2) if k else 1
+    elif k < 24 and fine:
+        n1, k2, n2 = k // 6 + 1, 5, 9
     elif k < 24 or fine:
         n1, k2, n2 = k // 4 + 2, 3, 6
     else:
@@ -386,22 +390,57 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
 
 
+def _cells(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` of stars with the cell that compares them (``part, cu, kind, ci, cj``), their block, and whether they are main.
+
+    Small stars are dealt whole. Of a star above BLOCK members, those in its largest component are main
+    and need no comparison among themselves: blocks of the others meet blocks of the main ones
+    (kind 0) and each other (kind 1), each pair of blocks in a cell of its own.
+    """
+    sizes = rows.groupBy("u").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
+    by_comp = rows.join(sizes, "u").groupBy("u", "m", "component").agg(F.count(F.lit(1)).alias("c"))
+    stats = by_comp.groupBy("u", "m").agg(F.max(F.struct("c", "component")).alias("top")).select(
+        "u", F.col("top.component").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("gl"),
+        F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int")).alias("go"),
+    )
+    rows = rows.join(stats, "u", "left").withColumn("main", F.coalesce(F.col("component") == F.col("top"), F.lit(False)))
+    block = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("main"), F.col("gl")).otherwise(F.col("go"))).cast("int")
+    rows = rows.withColumn("block", F.coalesce(block, F.lit(0)))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("ci"), j.alias("cj"))
+    upto = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
+    b = F.col("block")
+    with_main = F.transform(upto("gl"), lambda j: cell(0, b, j))
+    apart = F.transform(upto("go"), lambda i: cell(1, F.least(i, b), F.greatest(i, b)))
+    cells = F.when(F.col("go").isNull(), F.array(cell(2, F.lit(0), F.lit(0)))).when(
+        F.col("main"), F.transform(upto("go"), lambda i: cell(0, i, b))).otherwise(F.concat(with_main, apart))
+    small = F.col("go").isNull()
+    return rows.withColumn("cell", F.explode(cells)).select(
+        "u", "node", "n", "sketch", "component", "main", "block", "cell.kind", "cell.ci", "cell.cj",
+        F.when(small, F.pmod(F.xxhash64("u"), F.lit(parts))).otherwise(-1).alias("part"),
+        F.when(small, 0).otherwise(F.col("u")).alias("cu"),
+    )
+
+
 def _across(star: DataFrame, nodes: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Pairs that share a smallest node, lie in different components, and that sizes and sketches can't rule out.
 
     ``star`` has (smallest node, other node) of the groups that are open; a task holds the sketches of
-    the groups of its part, and only pairs that remain leave it.
+    the small stars of its part, or of two blocks of a large one, and only pairs that remain leave it.
     """
     num, den = SIMILAR
 
     def run(table: pa.Table) -> pa.Table:
         pdf = table.to_pandas()
         us, vs = [], []
-        for pivot, g in pdf.groupby("u", sort=False):
+        for _, g in pdf.groupby("u", sort=False):
             if len(g) < 2:
                 continue
             g = g.sort_values("n", kind="stable")
             node, comp, n = g["node"].to_numpy(), g["component"].to_numpy(), g["n"].to_numpy()
+            main, block = g["main"].to_numpy(), g["block"].to_numpy()
+            between = g["kind"].iloc[0] == 1 and g["ci"].iloc[0] != g["cj"].iloc[0]  # pairs inside a block have a cell of their own
+            mixed = g["kind"].iloc[0] == 0  # here only main ones meet others
+            sides = {side: np.flatnonzero(main == side) for side in (False, True)}
             size = g["sketch"].map(len).to_numpy()  # grows with n
             for words in np.unique(size):
                 # sets of this sketch size, with those of the next size, folded: a partner is at most a third larger
@@ -409,9 +448,16 @@ def _across(star: DataFrame, nodes: DataFrame, found: DataFrame, parts: int) ->
                 bits = np.stack([fold(x, words) for x in g["sketch"].iloc[first:end]])
                 for i in range(first, mine):
                     last = np.searchsorted(n, n[i] * den // num, "right")
-                    far = bits_apart(bits[i + 1 - first : last - first], bits[i - first])
-                    other = slice(i + 1, i + 1 + len(far))
+                    if mixed:
+                        other = sides[not main[i]]
+                        other = other[np.searchsorted(other, i + 1) : np.searchsorted(other, last)]
+                        far = bits_apart(bits[other - first], bits[i - first])
+                    else:
+                        other = slice(i + 1, max(last, i + 1))
+                        far = bits_apart(bits[i + 1 - first : last - first], bits[i - first])
                     hit = (far * (den + num) <= (n[other] + n[i]) * (den - num)) & (comp[other] != comp[i])
+                    if between:
+                        hit &= block[other] != block[i]
                     us.append(np.full(int(hit.sum()), node[i]))
                     vs.append(node[other][hit])
         pick = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
@@ -419,7 +465,14 @@ def _across(star: DataFrame, nodes: DataFrame, found: DataFrame, parts: int) ->
 
     rows = star.withColumnRenamed("v", "node").join(nodes.select("node", "n", "sketch"), "node").join(found, "node", "left")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
-    pairs = rows.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts))).groupBy("part").applyInArrow(run, "u bigint, v bigint")
+    if star.groupBy("u").count().where(F.col("count") > BLOCK).isEmpty():
+        cells = rows.select(
+            "*", F.lit(False).alias("main"), F.lit(0).alias("block"), F.lit(2).alias("kind"), F.lit(0).alias("ci"), F.lit(0).alias("cj"),
+            F.pmod(F.xxhash64("u"), F.lit(parts)).alias("part"), F.lit(0).alias("cu"),
+        )
+    else:
+        cells = _cells(save(rows, "stars"), parts)
+    pairs = cells.groupBy("part", "cu", "kind", "ci", "cj").applyInArrow(run, "u bigint, v bigint")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

@@ -407,6 +407,39 @@ def test_components_equal_brute_force(spark, monkeypatch, large):
     assert sorted(map(tuple, out.collect())) == components_of(rows)
 
 
+@pytest.mark.parametrize("large", [4096, 3])
+def test_components_from_blocks_of_stars(spark, monkeypatch, large):
+    """Stars cut into blocks give the same components."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    rows = near_copies()
+    out = ngram_join.link_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert sorted(map(tuple, out.collect())) == components_of(rows)
+
+
+def test_stars_are_compared_in_bounded_cells(spark, monkeypatch):
+    """300 of one component, 60 others and one small star: every pair that has to meet does, and no cell is large."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    stars = [(1, k, 100, 1 if k <= 300 else k) for k in range(1, 361)] + [(1000, k, 100, k) for k in range(1000, 1005)]
+    rows = [(u, k, n, ngram_join.sketch(np.append(base, np.uint64(k))).tolist(), c) for u, k, n, c in stars]
+    df = spark.createDataFrame(rows, "u bigint, node bigint, n bigint, sketch array<bigint>, component bigint")
+    sizes = [r["count"] for r in ngram_join._cells(df, 4).groupBy("part", "cu", "kind", "ci", "cj").count().collect()]
+    assert max(sizes) <= 100 and len(sizes) >= 45
+    star, nodes = df.select("u", F.col("node").alias("v")), df.select("node", "n", "sketch")
+    got = {(r["u"], r["v"]) for r in ngram_join._across(star, nodes, df.select("node", "component"), 4).collect()}
+    want = {(a, b) for u, a, _, c in stars for v, b, _, d in stars if u == v and a < b and c != d}
+    assert got == want
+
+
+def test_finer_signatures_hold_more_of_a_set():
+    share = lambda lv: (lv.n2 - lv.k2) / (lv.n2 * lv.n1)
+    for band in range(14):
+        coarse, fine = ngram_join.level(band, False), ngram_join.level(band, True)
+        assert share(fine) > share(coarse) or coarse.n1 * coarse.n2 == 1, band
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for size in [*range(3, 40), 100, 333, 900]:
