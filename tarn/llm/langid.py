@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,8 @@ FILTERS = 12
 #: Labelled texts of each language, and windows of each text, that training takes at most.
 SAMPLE = 700
 SAMPLE_WINDOWS = 4
-#: Languages that training learns at most, most frequent first (a label set, not a data bound).
-LANGUAGES = 200
+#: Labelled texts of all languages that training takes at most, shared out evenly; every language has one at least.
+ROWS = 140_000
 STEPS, BATCH = 500, 128
 UNKNOWN = "und"
 #: Windows scored at once.
@@ -146,25 +146,22 @@ def may_learn(id_col: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on at most ``sample`` texts of each language (by a hash of the id) that ``may_learn`` allows.
 
-    Of a text, up to SAMPLE_WINDOWS windows at even distances reach the driver. Null ids, texts or
+    Every language with rows is learned; where there are many, each has fewer texts (``ROWS``). Of a text, up to SAMPLE_WINDOWS windows at even distances reach the driver. Null ids, texts or
     languages are left out. None if no row is left.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col(text_col).isNotNull() & may_learn(F.col("id"))
     )
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    languages = known.select("lang").distinct().count()
     if not languages:
         return None
-    order = [F.xxhash64("id", F.lit(8)), F.col("id")]
     # the k smallest hashes of each language: a partial top k in each task, merged by language
-    picked = None
-    for lang in languages:
-        own = known.where(F.col("lang") == lang).orderBy(*order).limit(sample)
-        picked = own if picked is None else picked.unionByName(own)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(8)), "id"))
+    most = min(sample, max(1, ROWS // languages))
+    picked = known.withColumn("place", place).where(F.col("place") <= most).drop("place")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = text.join(F.broadcast(picked), "id").select("lang", "text")  # at most sample * languages rows are broadcast
+    rows = text.join(F.broadcast(picked), "id").select("lang", "text")  # at most ROWS rows, or one of each language, are broadcast
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +178,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     if not got:
         return None
     languages = sorted({lang for lang, _ in got})
+    number = {lang: k for k, lang in enumerate(languages)}
     x = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(-1, WINDOW)
-    return train(x, np.array([languages.index(lang) for lang, _ in got]), languages)
+    return train(x, np.array([number[lang] for lang, _ in got]), languages)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -338,6 +338,17 @@ def test_language_edges(spark, edge, empty):
     assert {r["lang_pred"] for r in langid.identify(edge, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """205 labels, above the former cap; one of them has the most rows and is sampled."""
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [(k, f"text number {k}", f"l{k % 205}") for k in range(2000)] + [(k, f"more {k}", "l0") for k in range(2000, 3000)]
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda x, label, names, f=langid.train: taken.append(np.bincount(label)) or f(x, label, names))
+    net = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=5)
+    assert net.languages == sorted(f"l{k}" for k in range(205)) and net.out.shape[1] == 205
+    assert taken[0].min() >= 1 and taken[0].max() == 5
+
+
 def _toy():
     x, _, _ = langid.windows_of(["abab " * 40, "cdcd " * 40])
     return np.concatenate([x[:1], x[1:]]), np.array([0, 1]), ["aa", "cc"]
