@@ -39,9 +39,9 @@ SPELLED = 60
 DECAY = 0.55
 OFFSETS = [(j, k) for k in range(2, 5) for j in range(1, k)]
 SYMBOLS = 64
-#: Words are scored in stretches of so many characters; longer ones in several that overlap.
+#: Words are scored in stretches of so many characters; longer ones, without signs, in several that overlap by half.
 STRETCH = 30
-OVERLAP = 8
+OVERLAP = STRETCH // 2
 MEMO_WORDS = 400_000
 #: Cost of all training words of one side.
 STRICT = 100_000
@@ -68,6 +68,12 @@ def core(token: str) -> str:
     return token[a:b]
 
 
+def stretches(word: str) -> list[str]:
+    """A long word without its signs, cut into stretches that overlap."""
+    word = "".join(filter(str.isalnum, word))
+    return [word[at : at + STRETCH] for at in range(0, max(1, len(word) - OVERLAP), STRETCH - OVERLAP)]
+
+
 def tokens_of(text: str) -> set[str]:
     """Distinct lower-cased tokens of a text; runs of three or more single characters also as one token."""
     tokens = text.lower().split()
@@ -78,7 +84,8 @@ def tokens_of(text: str) -> set[str]:
         end = at
         while end < len(single) and single[end]:
             end += 1
-        out.update("".join(tokens[k : k + STRETCH]) for k in range(at, end, STRETCH - OVERLAP))
+        run = "".join(tokens[at:end])
+        out.update([run] if len(run) <= STRETCH else stretches(run))
         at = single.find(b"\1\1\1", end)
     return out
 
@@ -98,7 +105,7 @@ def flat(words: list[str]) -> Flat:
     """Words without their signs, so that "i-d-i.ot" reads as a word; long ones as several rows that overlap."""
     rows, owner = words, np.arange(len(words))
     if any(map(STRETCH.__lt__, map(len, words))):
-        cut = [(w[at : at + STRETCH], k) for k, w in enumerate(map(core, words)) for at in range(0, max(1, len(w) - OVERLAP), STRETCH - OVERLAP)]
+        cut = [(x, k) for k, w in enumerate(words) for x in (stretches(w) if len(w) > STRETCH else [core(w)])]
         rows, owner = [w for w, _ in cut], np.array([k for _, k in cut])
     symbols, alnum = _classes()
     point = np.minimum(np.frombuffer(("\n".join(rows) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), 65_536)

@@ -338,6 +338,15 @@ def test_language_edges(spark, edge, empty):
     assert {r["lang_pred"] for r in langid.identify(edge, None).collect()} == {"und"}
 
 
+def test_insults_across_cuts_stay_whole_in_a_stretch():
+    for k in range(60):
+        word = "-".join("x" * k + "disgusting" + "y" * 40)
+        spaced = word.replace("-", " - ")
+        assert any("disgusting" in x for x in toxicity.stretches(word)) and any("disgusting" in x for x in toxicity.tokens_of(spaced)), k
+        # every row of the long word is a full stretch at most, and no letter is lost
+        assert np.bincount(toxicity.flat([word]).word).max() <= toxicity.STRETCH + 2
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """205 labels, above the former cap; one of them has the most rows and is sampled."""
     monkeypatch.setattr(langid, "STEPS", 2)
