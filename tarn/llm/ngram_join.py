@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.store import kept, save, ship
+from tarn.llm.store import kept, save, scope, ship
 from tarn.llm.words import grouped, mix, word_hashes
 
 WORDS = 5
@@ -42,7 +42,7 @@ BLOCK = 2048
 #: About so many bytes of text for each bucket of signatures.
 BUCKET_BYTES = 16 << 20
 SKETCH_BITS, SKETCH_MOST = 512, 1 << 16
-#: Bits of the filter that spares texts without a candidate from being hashed again: 16 for each, within these bounds.
+#: Bits of the filter that spares texts without a candidate from being hashed again: the fewest, and the most that are broadcast (8 MB).
 FILTER_BITS = (1 << 20, 1 << 26)
 #: A task packs its signatures once it holds so many.
 PACK = 1 << 20
@@ -93,6 +93,13 @@ def most_apart(s: int, t: int) -> int:
     return (s + t) * (den - num) // (den + num)
 
 
+#: (n1, n2, k2) of the first bands, sizes 3-4, 5-8, 9-15, 16-27, 28-49: so that a small set rarely leaves a subset empty.
+COARSE = [(1, 3, 1), (1, 4, 2), (3, 3, 1), (4, 4, 1), (5, 5, 2)]
+FINE = [(1, 5, 1), (1, 6, 2), (1, 7, 4), (2, 7, 3), (3, 9, 5)]
+#: Partitions of the domain that a small set goes through until one leaves it no empty subset that matters.
+DEPTH = 20
+
+
 @lru_cache(maxsize=None)
 def level(band: int, fine: bool) -> Level:
     low = 3
@@ -100,11 +107,9 @@ def level(band: int, fine: bool) -> Level:
         low = max(low + 1, int(low * BAND))
     high = max(low + 1, int(low * BAND)) - 1
     k = most_apart(high, high)
-    if k <= 3:
-        n1, k2, n2 = 1, k, k + (4 if fine else 2) if k else 1
-    elif k < 24 and fine:
-        n1, k2, n2 = k // 6 + 1, 5, 9
-    elif k < 24 or fine:
+    if band < len(COARSE):
+        n1, n2, k2 = (FINE if fine else COARSE)[band]
+    elif fine:
         n1, k2, n2 = k // 4 + 2, 3, 6
     else:
         n1, k2, n2 = math.ceil((k // 2 + 1) * 1.06) + 2, 1, 3
@@ -129,25 +134,33 @@ def levels_of(size: int, fine: bool) -> tuple[Level, ...]:
 def signatures(shingles: np.ndarray, fine: bool = False) -> np.ndarray:
     """PartEnum signatures of one set. Sets of one or two elements are similar only when equal: none.
 
-    A subset without elements gives no signature while enough partitions have none such: with s
-    partitions whose subsets all hold elements, s * (k2 + 1) above the largest difference, one of them
-    agrees with the partner's. Where that fails, the empty ones are given too.
+    A subset of parts that holds no element says nothing, and unrelated small sets would share its
+    signature, so it gives none. That loses no pair while enough partitions have no such subset: with s
+    of them, s * (k2 + 1) above the largest difference, one agrees with the partner's and holds
+    elements of both. Where that fails, the set goes through another partition of the domain as well, and so
+    on; its partner either has enough already, and then shares a signature, or goes on with it.
     """
     size = len(shingles)
     if size < 3:
         return shingles[:0]
     value = mix(shingles + np.uint64(1))
-    near, far = shingles & np.uint64(0xFFFFFFFF), shingles >> np.uint64(32)
     out = []
     for lv in levels_of(size, fine):
-        at = ((near * np.uint64(lv.n1)) >> np.uint64(32)) * np.uint64(lv.n2) + ((far * np.uint64(lv.n2)) >> np.uint64(32))
-        at = at.astype(np.intp)
-        sums = np.zeros(lv.n1 * lv.n2, np.uint64)
-        np.add.at(sums, at, value)
-        held = (np.bincount(at, minlength=lv.n1 * lv.n2) > 0).astype(np.uint64).reshape(lv.n1, lv.n2) @ lv.pick > 0
-        partner = min(size * SIMILAR[1] // SIMILAR[0], lv.high)
-        sigs = mix((sums.reshape(lv.n1, lv.n2) @ lv.pick) ^ lv.salt)
-        out.append(sigs[held] if int(held.all(1).sum()) * (lv.k2 + 1) > most_apart(size, partner) else sigs.ravel())
+        most = most_apart(size, min(size * SIMILAR[1] // SIMILAR[0], lv.high))
+        for depth in range(DEPTH):
+            place = mix(shingles + np.uint64(depth << 32)) if depth else shingles
+            near, far = place & np.uint64(0xFFFFFFFF), place >> np.uint64(32)
+            at = ((near * np.uint64(lv.n1)) >> np.uint64(32)) * np.uint64(lv.n2) + ((far * np.uint64(lv.n2)) >> np.uint64(32))
+            at = at.astype(np.intp)
+            sums = np.zeros(lv.n1 * lv.n2, np.uint64)
+            np.add.at(sums, at, value)
+            held = (np.bincount(at, minlength=lv.n1 * lv.n2) > 0).astype(np.uint64).reshape(lv.n1, lv.n2) @ lv.pick > 0
+            sigs = mix((sums.reshape(lv.n1, lv.n2) @ lv.pick) ^ lv.salt ^ np.uint64(depth << 56))
+            enough = int(held.all(1).sum()) * (lv.k2 + 1) > most
+            # after the last partition, which hardly any set gets to, the empty subsets are given too
+            out.append(sigs.ravel() if depth + 1 == DEPTH and not enough else sigs[held])
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -261,7 +274,7 @@ def _members(sig: np.ndarray, node: np.ndarray, size: np.ndarray) -> list[np.nda
     return [node[start[k] : start[k] + many[k]] for k in np.unique(names, return_index=True)[1]]
 
 
-def _groups(packed: DataFrame) -> DataFrame:
+def _groups(packed: DataFrame, buckets: int) -> DataFrame:
     """Documents with their nodes, and the distinct groups of nodes that share a signature."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -291,7 +304,7 @@ def _groups(packed: DataFrame) -> DataFrame:
             [pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "node", "n", "sketch", "members"]
         )
 
-    return packed.groupBy("bucket").applyInArrow(run, FOUND)
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, FOUND)
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -318,11 +331,10 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "u bigint, v bigint")
 
 
-def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit set of id hashes, of bounded size whatever the number of ids: false alarms only cost time."""
+def _filter_of(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A bit set of id hashes, 16 bits for each id: false alarms only cost time."""
     bits = FILTER_BITS[0]
-    count = ids.count()
-    while bits < FILTER_BITS[1] and bits < 16 * count:
+    while bits < 16 * count:
         bits *= 2
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     word = F.shiftright(slot, 6).cast("int")
@@ -337,26 +349,35 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose shingle sets really are similar enough.
 
-    Only texts of those nodes are hashed again. They are found where they are read, by a bit set of
-    their ids; what it lets pass by mistake is dropped by the joins with the pairs.
+    Only texts of those nodes are hashed again. Up to FILTER_BITS they are found where they are read, by a
+    bit set of their ids; what it lets pass by mistake is dropped by the joins with the pairs. Beyond
+    that, documents are joined with the ids.
     """
     pairs = save(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    bitset, bits = _filter_of(save(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("id")), "ids"))
-    shared = docs.sparkSession.sparkContext.broadcast(bitset)
+    ids = save(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("id")), "ids")
+    count = ids.count()
+    if 16 * count <= FILTER_BITS[1]:
+        bitset, bits = _filter_of(ids, count)
+        shared = docs.sparkSession.sparkContext.broadcast(bitset)
+        read = docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("slot"), "text")
+    else:
+        shared = None
+        read = docs.join(ids, "id", "left_semi").select(F.lit(0).alias("slot"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(0).to_numpy()
-            hit = np.flatnonzero(shared.value[slot >> 6] >> (slot & 63) & 1)
-            for _, group in grouped(batch.column(1).take(pa.array(hit)).to_pylist()):
+            texts = batch.column(1)
+            if shared is not None:
+                slot = batch.column(0).to_numpy()
+                texts = texts.take(pa.array(np.flatnonzero(shared.value[slot >> 6] >> (slot & 63) & 1)))
+            for _, group in grouped(texts):
                 sets = [s for s in shingle_sets(group) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     names=["node", "shingles"],
                 )
 
-    read = docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("slot"), "text")
     sets = save(read.mapInArrow(run, "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi"), "sets")
     # ids may repeat with other texts: several rows of one node hold the same set
     sets = sets.dropDuplicates(["node"])
@@ -481,7 +502,7 @@ def _linked(docs: DataFrame, fine: bool, bytes_: int) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, math.ceil(bytes_ / BUCKET_BYTES))
-    found = save(_groups(_packed(docs.select("id", "text"), buckets, fine)), "groups")
+    found = save(_groups(_packed(docs.select("id", "text"), buckets, fine), buckets), "groups")
     about = found.where("members is null").select("doc_id", "node", "n", "sketch")
     nodes = save(
         about.where("n > 0").groupBy("node").agg(
@@ -530,11 +551,13 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
     )
     bytes_ = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    nodes, about, found = _linked(own, False, bytes_)
-    placed = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = save(placed, "placed")
-    firsts = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    labelled = save(placed.join(firsts, "component").select("node", "component_id"), "labels")
+    with scope():
+        nodes, about, found = _linked(own, False, bytes_)
+        placed = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = save(placed, "placed")
+        firsts = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+        labelled = save(placed.join(firsts, "component").select("node", "component_id"), "labels", keep=True)
+        about = save(about.select("doc_id", "node", "n"), "about", keep=True)
     # a node may hold a third of all documents: AQE splits that side of the join
     out = about.join(labelled, "node", "left")
     back = lambda c: F.when(c != NO_ID, c)

@@ -18,14 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, rendered and read back."""
+    """Every conversation, folded from a log of drafts, edits, deltas and regenerations, rendered and read back."""
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said,
     )
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    out = chat.read_back(chat.format_conversations(chat.message_events(rows.unionByName(extra))))
+    out = chat.read_back(chat.format_conversations(chat.streamed_events(rows.unionByName(extra))))
     nl = F.lit("\n")
     turns = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], nl, m["text"], nl)), "")
     loss = F.array_join("loss_texts", "")
@@ -114,8 +114,8 @@ SELECT doc_id, source, slot, 'shard-' || lpad(CAST(o[slot + 1] AS VARCHAR), 2, '
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against an index that starts empty."""
-    out = exact_dedup.dedup(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
+    """Every document, in two batches by id through an index that starts empty."""
+    out = exact_dedup.dedup(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark), "documents", batches=2)
     return out.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -1,36 +1,17 @@
-"""Shared storage for intermediate tables, and shipping this package to Python workers."""
+"""Shipping this package to Python workers, and what operators keep there."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from tarn.storage import save, scope
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which every executor sees.
-
-    Where the session has no such setting (tests, one machine), one temporary folder is made
-    and set for the rest of the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tarn-{uuid.uuid4().hex[:12]}"
-
-
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["kept", "save", "scope", "ship"]
 
 _SHIPPED: set[str] = set()
 
@@ -43,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent.parent
     target = os.path.join(tempfile.mkdtemp(prefix="tarn-py-"), "tarn_llm_code.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for path in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
+        for path in [root / "__init__.py", root / "storage.py", *sorted((root / "llm").glob("*.py"))]:
             z.write(path, f"{root.name}/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)

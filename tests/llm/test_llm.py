@@ -71,6 +71,29 @@ def test_chat_round_trip_of_control_strings(spark):
     assert got == want
 
 
+def test_long_logs_fold_in_one_pass(spark):
+    """A message of 20,000 deltas with extra and clashing columns, and a conversation of 3,000 messages."""
+    log = spark.range(23_000).select(
+        F.when(F.col("id") < 20_000, 1).otherwise(2).cast("bigint").alias("conv_id"), F.when(F.col("id") < 20_000, 0).otherwise(F.col("id")).alias("turn"),
+        F.col("id").alias("seq"), F.when((F.col("id") > 0) & (F.col("id") < 20_000), "delta").otherwise("message").alias("kind"),
+        F.lit("assistant").alias("role"), F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")).alias("text"),
+        F.lit(1).alias("message"), F.lit(2).alias("k"), F.lit("x").alias("own"), F.lit("y").alias("messages"),
+    )
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(log)).collect()}
+    assert got[1]["loss_texts"] == ["".join(f"w{k} " for k in range(20_000))]
+    assert got[2]["loss_texts"] == [f"w{k} " for k in range(20_000, 23_000)]
+
+
+def test_streamed_events_fold_to_the_turns(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice([None, "", "a", "héllo 😀 wörld", "x" * 50, "</s>"])) for c in range(20) for t in [*range(rng.randrange(5)), 1, 1]]
+    rows += [(None, None, None, "z")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    read = lambda log: {r["conv_id"]: [tuple(m) for m in r["messages"]] for r in chat.read_back(chat.format_conversations(log)).collect()}
+    want = read(chat.message_events(turns))
+    assert read(chat.streamed_events(turns)) == want and sum(map(len, want.values())) == len(rows)
+
+
 def test_chat_nulls_ties_and_empty_logs(spark):
     log = events(spark, [(None, None, None, None, None, None), (2, 1, 1, "message", "user", "b"), (2, 1, 1, "message", "user", "a"), (2, 1, 1, "message", "user", "a"), (3, 0, 1, "regenerate", None, None)])
     got = {r["conv_id"]: [m["text"] for m in r["messages"]] for r in chat.read_back(chat.format_conversations(log)).collect()}
@@ -293,31 +316,73 @@ def test_placement_edges(spark, edge, empty, tmp_path):
 # 7 exact dedup
 
 
+def plain(df):
+    return sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+
+
 def test_index_grows_by_batches(spark):
     index = exact_dedup.new_index(spark)
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    first = exact_dedup.dedup(make([(2, "a b"), (1, "a\t b"), (3, "c")]), index, buckets=4)
-    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in first.collect()) == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
-    second = exact_dedup.dedup(make([(7, "a b"), (8, "d"), (9, "d")]), index, buckets=4)
-    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in second.collect()) == [(7, 1, 1, False), (8, 8, 2, True), (9, 8, 2, False)]
+    one, two = make([(2, "a b"), (1, "a\t b"), (3, "c")]), make([(7, "a b"), (8, "d"), (9, "d")])
+    first = exact_dedup.dedup(one, index, "one", buckets=4)
+    want_one = [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
+    assert plain(first) == want_one
+    # a batch that is run again, before or after another one, answers as before and adds nothing
+    assert plain(exact_dedup.dedup(one, index, "one")) == want_one
+    want_two = [(7, 1, 1, False), (8, 8, 2, True), (9, 8, 2, False)]
+    assert plain(exact_dedup.dedup(two, index, "two")) == want_two
+    assert plain(exact_dedup.dedup(one.repartition(3), index, "one")) == want_one and plain(first) == want_one
     assert spark.table(index).count() == 3
-    assert exact_dedup.kept_documents(make([(10, "d"), (11, "e")]), index, buckets=4).collect() == [(11, "e")]
+    assert exact_dedup.kept_documents(make([(10, "d"), (11, "e")]), index, "three").collect() == [(11, "e")]
+    copy = exact_dedup.rebucket(spark, index, f"{index}_wide", 8)
+    assert plain(exact_dedup.dedup(two, copy, "two")) == want_two and exact_dedup._buckets_of(spark, copy) == 8
+    assert exact_dedup.buckets_for(10) == 48 and exact_dedup.buckets_for(10**10) * exact_dedup.BUCKET_ROWS >= 10**10
+
+
+def test_exact_retry_after_part_of_an_append(spark, monkeypatch):
+    """The job dies after half of the batch's digests are in the index, and once more after all of them."""
+    index = exact_dedup.new_index(spark)
+    rows = spark.createDataFrame([(k, f"t{k % 6}") for k in range(20)], "doc_id bigint, text string")
+    write = exact_dedup._write
+
+    def half(fresh, *args):
+        write(fresh.where(F.hex("digest") < "8"), *args)
+        raise OSError("lost")
+
+    def whole(fresh, *args):
+        write(fresh, *args)
+        raise OSError("lost")
+
+    for broken in (half, whole):
+        monkeypatch.setattr(exact_dedup, "_write", broken)
+        with pytest.raises(OSError):
+            exact_dedup.dedup(rows, index, "b", buckets=4)
+    monkeypatch.setattr(exact_dedup, "_write", write)
+    assert plain(exact_dedup.dedup(rows, index, "b")) == sorted((k, k % 6, 4 if k % 6 < 2 else 3, k < 6) for k in range(20))
+    assert spark.table(index).count() == 6
+
+
+def test_batches_through_the_index_equal_one_batch(spark, edge):
+    key = lambda df: sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect()), key=repr)
+    one = key(exact_dedup.dedup(edge, exact_dedup.new_index(spark), "x", buckets=4))
+    assert key(exact_dedup.dedup(edge, exact_dedup.new_index(spark), "x", buckets=4, batches=3)) == one
 
 
 def test_exact_edges(spark, edge, empty):
-    out = exact_dedup.dedup(edge, exact_dedup.new_index(spark), buckets=4).collect()
+    out = exact_dedup.dedup(edge, exact_dedup.new_index(spark), "x", buckets=4).collect()
     assert len(out) == edge.count()
     assert sum(r["kept"] for r in out) == len({r["digest"] for r in out})
-    kept = exact_dedup.kept_documents(edge, exact_dedup.new_index(spark), buckets=4)
+    kept = exact_dedup.kept_documents(edge, exact_dedup.new_index(spark), "x", buckets=4)
     assert kept.columns == edge.columns
     texts = [r["text"] for r in kept.collect()]
     assert len(texts) == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts}) == len({r["digest"] for r in out})
-    assert exact_dedup.dedup(empty, exact_dedup.new_index(spark), buckets=4).count() == 0
+    assert exact_dedup.dedup(empty, exact_dedup.new_index(spark), "x", buckets=4).count() == 0
+    assert exact_dedup.dedup(empty, exact_dedup.new_index(spark), "x", batches=2).count() == 0
 
 
 def test_hot_text_is_one_group(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
-    out = exact_dedup.dedup(rows, exact_dedup.new_index(spark), buckets=4)
+    out = exact_dedup.dedup(rows, exact_dedup.new_index(spark), "x", buckets=4)
     assert out.where("group_size = 1000").count() == 1000 and out.where("kept").count() == 2001
 
 
@@ -460,9 +525,18 @@ def test_finer_signatures_hold_more_of_a_set():
         assert share(fine) > share(coarse) or coarse.n1 * coarse.n2 == 1, band
 
 
+def test_unrelated_small_sets_share_no_signature():
+    """No signature of random sets of any small size belongs to more than a few of them."""
+    rng = np.random.default_rng(3)
+    for size in [3, 4, 8, 9, 12, 16, 28, 40]:
+        for fine in (False, True):
+            sigs = np.concatenate([np.unique(ngram_join.signatures(np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)), fine)) for _ in range(4000)])
+            assert np.unique(sigs, return_counts=True)[1].max() <= 4, (size, fine)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
-    for size in [*range(3, 40), 100, 333, 900]:
+    for size in [*range(3, 40), *range(3, 30), *range(3, 30), 100, 333, 900]:
         x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
         for other in range(-(-75 * size // 100), size * 100 // 75 + 1, max(1, size // 10)):
             apart = ngram_join.most_apart(size, other)
