@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from tarn.llm.queries import vocabulary
-from tarn.llm.store import save
+from tarn.storage import save
 
 #: Every source is read at least once, so mixing drops nothing; none is read more often than this.
 MIX = mixing.Mix(max_repeats=1.25)
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document of the smallest id stays."""
-    return exact_dedup.kept_documents(docs, exact_dedup.new_index(spark))
+    return exact_dedup.kept_documents(docs, exact_dedup.new_index(spark), "documents", batches=2)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = save(docs, name.replace(" ", "-"))
+            docs = save(docs, name.replace(" ", "-"), keep=True)
     return docs

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators.quality import Check, gate, run_suite
+from tarn.storage import delete, exists
 
 
 @dataclass
@@ -26,20 +27,26 @@ class Outcome:
     checks: DataFrame | None = None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def point_to(spark: SparkSession, table: str, path: str) -> None:
-    """Make a version folder the table: one change of a catalog entry, so readers see the old or the new."""
+    """Make a version folder the table: a change of the catalog entry, so readers see the old or the new.
+
+    Columns that the version adds at the end are added to the table first, where the old files read as null.
+    A version whose columns changed otherwise (type, order, fewer) needs a new entry; the files of all versions stay.
+    """
     if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
-        spark.catalog.refreshTable(table)
-    else:
-        if "." in table:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rpartition('.')[0]}")
-        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
+        now, then = spark.table(table).schema, spark.read.parquet(path).schema
+        kinds = lambda schema: [(f.name, f.dataType) for f in schema]
+        if kinds(then)[: len(now)] == kinds(now):
+            if len(then) > len(now):
+                added = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in then[len(now) :])
+                spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({added})")
+            spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(table)
+            return
+        spark.sql(f"DROP TABLE {table}")
+    if "." in table:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rpartition('.')[0]}")
+    spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
 
 
 def publish(
@@ -55,13 +62,13 @@ def publish(
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     rows = seen.get["rows"]
     if not rows and not allow_empty:
-        _delete(spark, path)
+        delete(spark, path)
         return Outcome("empty", 0, path)
     results = None
     if checks:
         results = run_suite(spark.read.parquet(path), checks)
         if not gate(results):
-            _delete(spark, path)
+            delete(spark, path)
             return Outcome("rejected", rows, path, results)
     point_to(spark, table, path)
     return Outcome("published", rows, path, results)
@@ -79,11 +86,61 @@ def live_path(spark: SparkSession, table: str) -> str:
     return detail["data_type"]
 
 
+def rollback(spark: SparkSession, root: str, table: str, version: str) -> str:
+    """Make an earlier version the table again, with the columns that it had; returns its folder."""
+    path = f"{root.rstrip('/')}/{table.replace('.', '/')}/version={version}"
+    if not exists(spark, path):
+        raise ValueError(f"{table} has no version {version!r}")
+    point_to(spark, table, path)
+    return path
+
+
+def publish_touched(
+    touched: DataFrame, table: str, root: str, run_id: str, partition: str, checks: Sequence[Check] = ()
+) -> Outcome:
+    """Publish new states of some partitions: ``touched`` holds them whole, all other partitions stay as they are.
+
+    The staged files hold touched partitions only, are checked, and then each of these partitions is pointed to
+    its folder; so the work follows the batch and not the table. Readers see a partition as it was or as it
+    is; a table without an entry is made first. A partition that loses its last row keeps its folder.
+    """
+    spark = touched.sparkSession
+    path = f"{root.rstrip('/')}/{table.replace('.', '/')}/version={run_id}"
+    seen = Observation()
+    touched.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(partition).write.partitionBy(partition).parquet(path)
+    rows = seen.get["rows"]
+    if not rows:
+        delete(spark, path)
+        return Outcome("empty", 0, path)
+    staged = spark.read.schema(touched.schema).parquet(path)
+    results = None
+    if checks:
+        results = run_suite(staged, checks)
+        if not gate(results):
+            delete(spark, path)
+            return Outcome("rejected", rows, path, results)
+    if not spark.catalog.tableExists(table):
+        if "." in table:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rpartition('.')[0]}")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (`{partition}`) LOCATION '{root.rstrip('/')}/{table.replace('.', '/')}/base'")
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1).alias("at")
+    folders = staged.select(F.col(partition).cast("string"), at).distinct()
+    for value, folder in folders.collect():  # one row a touched partition, as the catalog holds one entry for each
+        spec = f"`{partition}` = " + ("NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'")
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{folder}'")
+        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{folder}'")
+    spark.catalog.refreshTable(table)
+    return Outcome("published", rows, path, results)
+
+
 def expire(spark: SparkSession, root: str, table: str, older_than) -> list[str]:
-    """Delete version folders older than a time, never the live one; returns what went."""
-    live = live_path(spark, table).rstrip("/").rpartition("=")[2]
-    old = versions(spark, root, table).where((F.col("modified") < F.lit(older_than)) & (F.col("version") != live))
+    """Delete version folders older than a time, never one that the table still reads; returns what went."""
+    version = F.regexp_extract(F.col("_metadata.file_path"), r"/version=([^/]+)/", 1)
+    live = {r[0] for r in spark.table(table).select(version).distinct().collect()}  # one row a version
+    live.add(live_path(spark, table).rstrip("/").rpartition("=")[2])
+    old = versions(spark, root, table).where((F.col("modified") < F.lit(older_than)) & ~F.col("version").isin(*live))
     gone = [r["path"] for r in old.collect()]  # a table's versions, not its rows
     for path in gone:
-        _delete(spark, path)
+        delete(spark, path)
     return gone

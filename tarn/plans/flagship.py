@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn import storage
 from tarn.functions.columns import exact_sum
 from tarn.operators import merge, publish, quality
-from tarn.plans.queries_streams import _folder
 from tarn.plans.registry import Tables
 
 
@@ -21,7 +21,8 @@ def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = merge.incremental(clean, batch, ["o_orderkey"], ["version"])
     checks = [quality.not_null("o_custkey"), quality.unique("o_orderkey"), quality.foreign_key("o_custkey", t.customer, "c_custkey")]
     table = f"silver_orders_{uuid.uuid4().hex[:8]}"
-    outcome = publish.publish(silver, table, _folder(spark), "1", checks)
+    storage.at_exit(lambda: spark.sql(f"DROP TABLE IF EXISTS {table}"))
+    outcome = publish.publish(silver, table, storage.new_folder(spark, "orders"), "1", checks)
     if outcome.status != "published":
         raise RuntimeError(f"the checks blocked publishing: {outcome.checks.collect() if outcome.checks else outcome.status}")
     return spark.table(table).groupBy(F.to_date("o_orderdate").alias("day")).agg(

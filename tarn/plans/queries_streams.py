@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from tarn import storage
 from tarn.operators import merge
 from tarn.plans.registry import Tables, query
 from tarn.streaming import ingest
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _zone(spark, d, files: int = 3) -> tuple[str, str]:
     """Events dealt by time into files of a zone, and their schema."""
-    folder = _folder(spark)
+    folder = storage.new_folder(spark, "stream")
     events = Tables(spark, d).events
     events.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/zone")
     return folder, events.schema
@@ -58,14 +47,9 @@ def stream_dedup(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_events FROM events GROUP BY 1, 2")
 def stream_window_rollup(spark, d):
-    """Daily windows, complete mode, upserted by micro-batch."""
+    """Daily windows in update mode: each micro-batch rewrites only the days whose counts changed."""
     folder, schema = _zone(spark, d)
-    rollup = ingest.window_rollup(ingest.zone_stream(spark, f"{folder}/zone", schema), "ts", "1 day", ["event_type"])
-
-    def put(batch, n):
-        batch.write.mode("overwrite").parquet(f"{folder}/table/version={n}")
-
-    rollup.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    return ingest.current(spark, f"{folder}/table")
+    rollup = ingest.window_rollup(ingest.zone_stream(spark, f"{folder}/zone", schema, max_files=1), "ts", "1 day", ["event_type"])
+    days = rollup.withColumn("day", F.to_date("window_start"))
+    ingest.upsert_stream(days, f"{folder}/table", f"{folder}/checkpoint", ["window_start", "event_type"], "day").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").drop("day")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tarn import storage
+
 #: (existing table or None, micro-batch) to the new state.
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -45,14 +47,35 @@ def merge_stream(stream: DataFrame, root: str, checkpoint: str, merge: Merge) ->
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str) -> StreamingQuery:
+    """Changed rows (update mode) replace those of their keys in a table partitioned by ``partition``.
+
+    Only partitions that a micro-batch touches are read and rewritten, so the work follows the batch.
+    ``keys`` determine the partition. A batch that is run again after a failure writes the same rows again.
+    """
+    spark = stream.sparkSession
+
+    def one(batch: DataFrame, n: int) -> None:
+        with storage.scope():
+            batch = storage.save(batch, "changed")
+            new = batch
+            if storage.exists(spark, path):
+                touched = batch.select(partition).distinct()
+                old = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
+                new = storage.save(old.join(batch, list(keys), "left_anti").select(*batch.columns).unionByName(batch), "touched")
+            out = new.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out.partitionBy(partition).parquet(path)
+
+    return stream.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
     """The newest version (below a number), None before the first."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
+    if not storage.exists(spark, root):
         return None
-    found = [s.getPath().getName() for s in fs.listStatus(target)]
-    done = [int(x.rpartition("=")[2]) for x in found if x.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x}/_SUCCESS"))]
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = [s.getPath().getName() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
+    done = [int(x.rpartition("=")[2]) for x in found if x.startswith("version=") and storage.exists(spark, f"{root}/{x}/_SUCCESS")]
     done = [n for n in done if below is None or n < below]
     return spark.read.parquet(f"{root}/version={max(done)}") if done else None
 
