@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def watermark(df: DataFrame, column: str) -> DataFrame:
+    """One row ``watermark``: the largest value of a column, in its own type."""
+    return df.agg(F.max(column).alias("watermark"))
+
+
 def read_watermark(spark: SparkSession, table: str, column: str) -> Any:
     """Largest value of a column, in its own type; None if the table is missing or empty."""
     if not spark.catalog.tableExists(table):
         return None
-    return spark.table(table).agg(F.max(column)).first()[0]
+    return watermark(spark.table(table), column).first()["watermark"]
 
 
 def newer(df: DataFrame, column: str, watermark: Any, look_back: timedelta | None = None) -> DataFrame:

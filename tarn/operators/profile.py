@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,30 @@ def preview(df: DataFrame, n: int = 100) -> tuple[list, int]:
     return (rows, len(rows)) if len(rows) <= n else (rows[:n], df.count())
 
 
+def plan_profile(df: DataFrame) -> DataFrame:
+    """``phase, seconds, detail`` of a query: Catalyst's phases, one run into nothing with its rows, and its plan by lines.
+
+    The run executes the whole query; nothing but its number of rows is kept.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    began = time.perf_counter()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    watched.write.format("noop").mode("overwrite").save()
+    taken = time.perf_counter() - began
+    # Catalyst drops the counter of a query that it knows to be empty
+    n = seen.get["rows"] if "CollectMetrics" in watched._jdf.queryExecution().optimizedPlan().toString() else 0
+    rows = [("execution", taken, f"{n} rows")]
+    run = df._jdf.queryExecution()
+    plan = run.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    phases = run.tracker().phases().iterator()
+    while phases.hasNext():
+        phase = phases.next()
+        rows.append((phase._1(), phase._2().durationMs() / 1000, ""))
+    rows += [("plan", None, line.strip()) for line in plan.split("\n\n")[0].splitlines() if line.strip()]
+    return spark.createDataFrame(rows, "phase string, seconds double, detail string")
+
+
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """min, max, mean, median, standard deviation and distinct values of numeric columns, in one pass each row."""
     parts = []

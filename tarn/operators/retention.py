@@ -96,7 +96,8 @@ def cooldown(events: DataFrame, key: str, ts: str, tie: str, seconds: int) -> Da
     """Events that fire: the first of each key, then each one ``seconds`` or more after the last that fired.
 
     The rule depends on the last accepted event, so a key's rows are walked in order, batch by batch:
-    rows are dealt by key and sorted by Spark, and only the time of the last firing is held.
+    rows are dealt by key and sorted by Spark, and only the time of the last firing is held. An event without a
+    time never fires. By its nature a key is one task's work, however many events it has.
     """
     schema = events.schema
 
@@ -119,4 +120,4 @@ def cooldown(events: DataFrame, key: str, ts: str, tie: str, seconds: int) -> Da
             yield batch.filter(pa.array(fires, pa.bool_()))
 
     events_columns = events.columns
-    return events.repartition(key).sortWithinPartitions(key, ts, tie).mapInArrow(walk, schema)
+    return events.where(F.col(ts).isNotNull()).repartition(key).sortWithinPartitions(key, ts, tie).mapInArrow(walk, schema)

@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn import storage
 from tarn.operators import merge, publish
 from tarn.operators.incremental import newer, read_watermark
 from tarn.operators.quality import Check
@@ -80,11 +81,13 @@ class Context:
 
 def new_state(ctx: Context, batch: DataFrame) -> DataFrame:
     options: dict[str, object] = {
-        "incremental": {"keys": ctx.config.keys, "order_by": ctx.config.order_by or ctx.config.keys},
+        "incremental": {"keys": ctx.config.keys, "order_by": ctx.config.order_by},
         "delete_insert": {"keys": ctx.config.keys},
         "snapshot": {"partition": ctx.config.partition},
         "scd2": {"keys": ctx.config.keys, "run_ts": ctx.run_started_at, "order_by": ctx.config.order_by, "detect_changes": ctx.config.detect_changes},
     }.get(ctx.strategy, {})
+    if ctx.strategy in ("incremental", "scd2") and ctx.config.keys and not ctx.config.order_by:
+        raise ValueError(f"{ctx.strategy} needs order_by: which of a key's rows is the last must not depend on the order of reading")
     if options and not (options.get("keys") or options.get("partition")):
         ctx.log.warning("%s lacks its keys or partition: full refresh", ctx.strategy)
         return batch
@@ -101,10 +104,13 @@ def run(
             batch = pipeline(ctx)
             if not isinstance(batch, DataFrame):
                 raise TypeError(f"a pipeline returns a DataFrame, not {type(batch).__name__}")
-            if not ctx.config.allow_empty and batch.isEmpty():
-                return publish.Outcome("empty", 0, "")
-            return publish.publish(new_state(ctx, batch), ctx.table, root, f"{run_id}-{left}", checks, ctx.config.allow_empty)
-        except TypeError:
+            with storage.scope():
+                # merges read a batch more than once; what the pipeline does is done once
+                batch = storage.save(batch, "batch")
+                if not ctx.config.allow_empty and batch.isEmpty():
+                    return publish.Outcome("empty", 0, "")
+                return publish.publish(new_state(ctx, batch), ctx.table, root, f"{run_id}-{left}", checks, ctx.config.allow_empty)
+        except (TypeError, ValueError):
             raise
         except Exception:  # noqa: BLE001  user code and jobs may fail in any way
             if not left:

@@ -226,7 +226,7 @@ def watermark_lookback(spark, d):
 
 @query("SELECT max(ts) AS watermark FROM events")
 def watermark_read(spark, d):
-    return Tables(spark, d).events.agg(F.max("ts").alias("watermark"))
+    return incremental.watermark(Tables(spark, d).events, "ts")
 
 
 @query("""SELECT o.o_orderkey, o.o_orderdate, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey

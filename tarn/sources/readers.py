@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.storage import exists
+
 #: Folders of a landing zone that hold no active files; Spark's readers skip names that begin with "_".
 SAMPLES, PROCESSED = "_samples", "_processed"
 
@@ -40,16 +42,22 @@ def csv(
     date_format: str = "yyyy-MM-dd", header: bool = True, ignore_errors: bool = False,
 ) -> DataFrame:
     """CSV of a declared schema. Short rows are padded with nulls; malformed rows can be dropped."""
-    return spark.read.schema(schema).options(
+    rows = spark.read.schema(schema).options(
         header=header, sep=sep, quote=quote, escape=escape, dateFormat=date_format,
         mode="DROPMALFORMED" if ignore_errors else "PERMISSIVE",
     ).csv(path)
+    return rows.where(_reads_all(rows)) if ignore_errors else rows
+
+
+def _reads_all(rows: DataFrame) -> Column:
+    """Always true, and needs every column: otherwise a row would be malformed only for queries that read the bad column."""
+    return F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns])) >= 0
 
 
 def csv_split(spark: SparkSession, path: str, schema: str, **options: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed rows with the raw line in ``_corrupt_record``)."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").options(header=True, mode="PERMISSIVE", **options).csv(path)
-    bad = F.col("_corrupt_record").isNotNull()
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").options(**{"header": True, **options, "mode": "PERMISSIVE"}).csv(path)
+    bad = F.col("_corrupt_record").isNotNull() | ~_reads_all(rows)
     return rows.where(~bad).drop("_corrupt_record"), rows.where(bad)
 
 
@@ -73,9 +81,11 @@ def with_loaded_at(df: DataFrame, run_started_at: datetime, name: str = "_loaded
     return df.withColumn(name, F.lit(run_started_at).cast("timestamp"))
 
 
-def zone(spark: SparkSession, path: str, fmt: str = "csv", pattern: str | None = None, **options: object) -> DataFrame:
+def zone(spark: SparkSession, path: str, fmt: str = "csv", pattern: str | None = None, schema: str | None = None, **options: object) -> DataFrame:
     """All active files of a landing zone, in sub-folders too; samples and processed files are left out."""
     reader = spark.read.options(recursiveFileLookup=True, **options)
+    if schema:
+        reader = reader.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.format(fmt).load(path)
@@ -83,13 +93,9 @@ def zone(spark: SparkSession, path: str, fmt: str = "csv", pattern: str | None =
 
 def sample_zone(spark: SparkSession, path: str, fmt: str = "csv", **options: object) -> DataFrame:
     """The zone's samples if it has any, else all of its files."""
-    try:
-        found = zone(spark, f"{path}/{SAMPLES}", fmt, **options)
-        if found.columns:
-            return found
-    except Exception as e:  # noqa: BLE001  no such folder, or one without files
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    samples = f"{path}/{SAMPLES}"
+    if exists(spark, samples) and not inventory(spark, samples).where("length > 0").isEmpty():
+        return zone(spark, samples, fmt, **options)
     return zone(spark, path, fmt, **options)
 
 

@@ -29,9 +29,12 @@ def partition_columns(df: DataFrame, spec: list[tuple[str, str]]) -> tuple[DataF
 
 
 def write_partitioned(df: DataFrame, path: str, spec: list[tuple[str, str]], mode: str = "error") -> None:
-    """One folder a partition value; rows are first dealt out by it, so that each folder gets few files."""
+    """One folder a partition value; rows are first dealt out by it, so that each folder gets few files.
+
+    The hint lets Spark split a large value over several tasks, by the size it has measured.
+    """
     df, names = partition_columns(df, spec)
-    df.repartition(*names).write.mode(mode).partitionBy(*names).parquet(path)
+    df.hint("rebalance", *names).write.mode(mode).partitionBy(*names).parquet(path)
 
 
 def between(column: str, transform: str, low: object, high: object) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions.columns import boundaries
+from tarn import storage
 from tarn.operators import merge, profile, publish, quality, retention, scd
 from tarn.operators.incremental import newer, read_watermark
 from tarn.plans import pipeline
@@ -194,6 +195,14 @@ def test_malformed_csv(spark, tmp_path):
     assert {r["name"] for r in padded.collect()} >= {"a;b", None}
 
 
+def test_malformed_rows_are_so_for_every_query(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,2.5\n2,none\n3,4\n")
+    lenient = readers.csv(spark, f"file://{tmp_path}/a.csv", "id bigint, v double", ignore_errors=True)
+    assert rows(lenient.select("id")) == [(1,), (3,)] and lenient.count() == 2
+    good, bad = readers.csv_split(spark, f"file://{tmp_path}/a.csv", "id bigint, v double")
+    assert rows(good.select("id")) == [(1,), (3,)] and rows(bad.select("id")) == [(2,)] and bad.count() == 1
+
+
 def test_partition_spec(spark, tmp_path):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-05 10:00:00' AS ts, 1 AS v UNION ALL SELECT TIMESTAMP_NTZ'2024-04-01 00:00:00', 2")
     sinks.write_partitioned(df, str(tmp_path / "t"), [("ts", "month")])
@@ -242,6 +251,108 @@ def test_cooldown_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in want.collect())
 
 
+def test_touched_partitions_and_roll_back(spark, tmp_path):
+    root, table = f"file://{tmp_path}/v", "touched_parts"
+    schema = "id bigint, v string, p int"
+    state = frame(spark, [(1, "a", 1), (2, "b", 2), (3, "c", None)], schema)
+    assert publish.publish_touched(state, table, root, "1", "p").status == "published"
+    assert rows(spark.table(table)) == [(1, "a", 1), (2, "b", 2), (3, "c", None)]
+    none = [quality.not_null("v")]
+    assert publish.publish_touched(frame(spark, [(3, None, None)], schema), table, root, "2", "p", none).status == "rejected"
+    assert publish.publish_touched(frame(spark, [(3, "C", None), (4, "d", 7)], schema), table, root, "3", "p", none).rows == 2
+    assert publish.publish_touched(frame(spark, [], schema), table, root, "4", "p").status == "empty"
+    assert rows(spark.table(table)) == [(1, "a", 1), (2, "b", 2), (3, "C", None), (4, "d", 7)]
+    # versions that still hold partitions of the table stay
+    assert publish.expire(spark, root, table, datetime(2100, 1, 1)) == []
+    spark.sql(f"DROP TABLE {table}")
+    table = "evolved_versions"
+    publish.publish(frame(spark, [(1, "a")]), table, root, "1")
+    publish.publish(spark.createDataFrame([("x", 2.5)], "name string, id double"), table, root, "2")
+    assert rows(spark.table(table)) == [("x", 2.5)]
+    publish.rollback(spark, root, table, "1")
+    assert rows(spark.table(table)) == [(1, "a")]
+    with pytest.raises(ValueError, match="no version"):
+        publish.rollback(spark, root, table, "9")
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_merges_by_key_need_an_order(spark, tmp_path):
+    for strategy in ("incremental", "scd2"):
+        ctx = pipeline.Context(spark, "t", "silver.unordered", pipeline.PipelineConfig(strategy, keys=("id",), max_retries=3), datetime(2024, 1, 1))
+        with pytest.raises(ValueError, match="order_by"):
+            pipeline.run(ctx, lambda c: frame(spark, [(1, "a")]), f"file://{tmp_path}", "r")
+
+
+def test_retries_rebuild_the_whole_run(spark, tmp_path):
+    calls = []
+
+    def flaky(c):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("away")
+        return frame(spark, [(1, "a")])
+
+    config = pipeline.PipelineConfig("full_refresh", max_retries=2)
+    ctx = pipeline.Context(spark, "retry", "silver.t", config, datetime(2024, 1, 1))
+    assert pipeline.run(ctx, flaky, f"file://{tmp_path}", "r").status == "published" and len(calls) == 3
+    calls.clear()
+    once = pipeline.Context(spark, "retry", "silver.u", pipeline.PipelineConfig("append_only", max_retries=2), datetime(2024, 1, 1))
+    with pytest.raises(OSError):
+        pipeline.run(once, flaky, f"file://{tmp_path}", "r")
+    assert len(calls) == 1
+    spark.sql("DROP DATABASE retry_silver CASCADE")
+
+
+def test_events_without_a_time_never_fire(spark):
+    events = frame(spark, [(1, 10, 1), (1, None, 2), (1, 100, 3), (2, None, 4)], "k bigint, s bigint, id bigint").withColumn("ts", F.timestamp_seconds("s"))
+    assert rows(retention.cooldown(events, "k", "ts", "id", 60).select("id")) == [(1,), (3,)]
+    assert retention.cooldown(events.where("false"), "k", "ts", "id", 60).count() == 0
+
+
+def test_intermediate_data_goes_with_its_scope(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "_ROOT", {})
+    real = spark.conf.get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: None if key == "spark.checkpoint.dir" else real(key, *a))
+    storage.use_root(f"file://{tmp_path}")
+    with storage.scope():
+        one, two = storage.save(spark.range(3), "one"), storage.save(spark.range(4), "two", keep=True)
+        assert one.count() == 3
+    assert [p.name.rpartition("-")[2] for p in tmp_path.iterdir()] == ["two"] and two.count() == 4
+    storage._LEAVE.pop()()
+    assert not list(tmp_path.iterdir())
+    monkeypatch.setattr(storage, "_ROOT", {})
+    assert storage.shared_root(spark).startswith("file://")
+    monkeypatch.setattr(storage, "_ROOT", {})
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: "spark://host:7077" if key == "spark.master" else None)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_root(spark)
+
+
+def test_streams_archive_and_match_patterns(spark, tmp_path):
+    zone, archive = tmp_path / "zone", tmp_path / "archive"
+    frame(spark, [(k, str(k)) for k in range(6)]).repartition(3).write.parquet(f"file://{zone}")
+    (zone / "note.txt").write_text("not taken in")
+    stream = ingest.zone_stream(spark, f"file://{zone}", "id bigint, name string", pattern="*.parquet", archive=f"file://{archive}", max_files=1)
+    ingest.merge_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/c", merge.append_only).awaitTermination()
+    assert ingest.current(spark, f"file://{tmp_path}/t").count() == 6
+    assert list(archive.rglob("*.parquet")) and (zone / "note.txt").exists()
+
+
+def test_window_upserts_repeat_to_the_same_table(spark, tmp_path):
+    zone = f"file://{tmp_path}/zone"
+    schema = "ts timestamp, kind string"
+    for k in (1, 2, 3):
+        frame(spark, [(datetime(2024, 1, d), "a") for d in range(1, 1 + k)], schema).coalesce(1).write.mode("append").parquet(zone)
+    daily = ingest.window_rollup(ingest.zone_stream(spark, zone, schema, max_files=1), "ts", "1 day", ["kind"]).withColumn("day", F.to_date("window_start"))
+    ingest.upsert_stream(daily, f"file://{tmp_path}/t", f"file://{tmp_path}/c", ["window_start", "kind"], "day").awaitTermination()
+    assert [r["n_events"] for r in spark.read.parquet(f"file://{tmp_path}/t").orderBy("window_start").collect()] == [3, 2, 1]
+
+
+def test_plan_profile_names_phases_and_plan(spark):
+    out = {r["phase"]: r for r in profile.plan_profile(spark.range(10).groupBy("id").count()).collect()}
+    assert {"execution", "analysis", "planning", "plan"} <= set(out) and out["execution"]["detail"] == "10 rows"
+
+
 def test_rest_works_without_the_llm_folders(tmp_path):
     import shutil
     import subprocess
