@@ -1,20 +1,23 @@
 """Toxicity by a subsequence string kernel and a support vector machine on Nyström landmarks.
 
-A text is read as words, and a word as its gapped subsequences of three characters: each counts less
-for every character it skips, so an insult keeps most of its subsequences when characters are
-inserted, dropped or replaced. The kernel of two words is the product of these weights. Landmark words span
-the feature space (Nyström), a squared-hinge machine is trained in it, and as its decision is linear in
-the word's subsequences, it is folded into one table for scoring.
-
-Labels mark whole texts while single words make them toxic, so training is by multiple instances: each
-toxic text speaks through its worst word, each clean text through its worst word as well, and both
-are chosen anew in every round. A text's score is that of its worst sentence, which is that of its worst word.
+A text is read as sentences, a sentence as its stretches of one to three words, and a stretch as its gapped
+subsequences of three characters, word gaps being one of them: each counts less for every character it
+skips, so an insult keeps most of its subsequences when characters are inserted, dropped or replaced, and
+a phrase of ordinary words has subsequences that its words alone lack. The kernel of two stretches is the
+product of these weights. Landmark stretches span the feature space (Nyström), a squared-hinge machine is
+trained in it, and as its decision is linear in the subsequences, it is folded into one table for scoring.
+
+Labels mark whole texts, so training is by multiple instances: a sentence speaks through its worst stretch, a
+text through its worst sentence, and they are chosen anew in every round.
+
+For scoring, the table's answers at every character of many texts are summed up once; a stretch is then a
+difference of two sums, so the work is linear in the text and nothing is remembered from text to text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,160 +28,223 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.store import kept, ship
+from tarn.llm.store import kept, save, scope, ship
+from tarn.llm.words import mix
 
-#: Labelled rows of each class that training takes at most; the choice is by a hash of the id.
-SAMPLE = 1500
+#: Labelled rows of each class that training takes at most, and their characters together; the choice is by a hash of the id.
+SAMPLE, SAMPLE_CHARS = 1500, 4_000_000
 LANDMARKS = 400
 ROUNDS = 6
-#: Clean words that a round adds at most: those that look most toxic so far.
+#: Clean stretches that a round adds at most: those that look most toxic so far.
 HARD = 1500
-#: Toxic words, most frequent first, that are also learned in misspelt forms.
-SPELLED = 60
+#: Clean words that training starts from: the most frequent ones, and others by a hash.
+USUAL, OTHERS = 2000, 3000
+#: Toxic stretches, most telling first, that training starts from; so many of them are also learned in misspelt forms.
+TELLING, SPELLED = 1500, 60
 #: Weight of a subsequence for each character that it skips, and its largest width.
 DECAY = 0.55
-OFFSETS = [(j, k) for k in range(2, 5) for j in range(1, k)]
+WIDTHS = (2, 3, 4)
 SYMBOLS = 64
-#: Words are scored in stretches of so many characters; longer ones, without signs, in several that overlap by half.
+#: Words of a stretch at most.
+WORDS = 3
+#: Words of more letters are scored in pieces of so many, which overlap by half; stretches of several words are twice as long at most.
 STRETCH = 30
-OVERLAP = STRETCH // 2
-MEMO_WORDS = 400_000
-#: Cost of all training words of one side.
+#: Cost of all training stretches of one side.
 STRICT = 100_000
-#: Characters that stand for letters.
+#: Texts are scored in groups of about so many characters.
+GROUP = 1 << 19
+#: Decision of a text without a word.
+NOTHING = -5.0
+#: Characters that stand for letters, and those that end a sentence.
 ALIKE = str.maketrans("013457@$", "oieastas")
+ENDS = ".!?\n 。！？"
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SYMBOL = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64))
 
 
 @lru_cache(maxsize=1)
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and whether it is a letter or digit, of each character of the basic plane; others are signs."""
+def _classes() -> tuple[np.ndarray, ...]:
+    """Of each character of the basic plane (others are signs): symbol, and whether it is a letter or digit, white space, a sentence's end."""
     chars = [chr(o) for o in range(65_536)]
     named = [ord(c.translate(ALIKE)) for c in chars]
     symbol = [o - 96 if 97 <= o <= 122 else 27 + o % 36 if c.isalpha() else 63 for c, o in zip(chars, named)]
-    return np.array([*symbol, 63], np.int32), np.array([*(c.isalnum() for c in chars), False])
-
-
-def core(token: str) -> str:
-    """A token without the signs around it."""
-    a, b = 0, len(token)
-    while a < b and not token[a].isalnum():
-        a += 1
-    while b > a and not token[b - 1].isalnum():
-        b -= 1
-    return token[a:b]
-
-
-def stretches(word: str) -> list[str]:
-    """A long word without its signs, cut into stretches that overlap."""
-    word = "".join(filter(str.isalnum, word))
-    return [word[at : at + STRETCH] for at in range(0, max(1, len(word) - OVERLAP), STRETCH - OVERLAP)]
-
-
-def tokens_of(text: str) -> set[str]:
-    """Distinct lower-cased tokens of a text; runs of three or more single characters also as one token."""
-    tokens = text.lower().split()
-    single = bytes(map((1).__eq__, map(len, tokens)))
-    out = set(tokens)
-    at = single.find(b"\1\1\1")
-    while at >= 0:
-        end = at
-        while end < len(single) and single[end]:
-            end += 1
-        run = "".join(tokens[at:end])
-        out.update([run] if len(run) <= STRETCH else stretches(run))
-        at = single.find(b"\1\1\1", end)
-    return out
+    flags = [[*map(f, chars), False] for f in (str.isalnum, str.isspace, ENDS.__contains__)]
+    return np.array([*symbol, 63], np.uint8), *map(np.array, flags)
+
 
+def norm(size: np.ndarray) -> np.ndarray:
+    """Root of the sum of squared weights of a stretch of so many symbols."""
+    total = sum((k - 1) * DECAY ** (2 * k - 4) * np.maximum(size - k, 0) for k in WIDTHS)
+    return np.sqrt(np.maximum(total, 1e-9))
 
-class Flat(NamedTuple):
-    """Symbols of many words in one row, each between two boundary marks."""
+
+class Reading(NamedTuple):
+    """Symbols of many texts in a row, a boundary (0) before and after each word, and the stretches to score."""
 
     symbol: np.ndarray
-    word: np.ndarray  # row of each symbol
-    left: np.ndarray  # symbols from here to the end of its word
-    start: np.ndarray
-    norm: np.ndarray  # root of the sum of squared weights of a row
-    owner: np.ndarray  # number of the word that a row belongs to
-
-
-def flat(words: list[str]) -> Flat:
-    """Words without their signs, so that "i-d-i.ot" reads as a word; long ones as several rows that overlap."""
-    rows, owner = words, np.arange(len(words))
-    if any(map(STRETCH.__lt__, map(len, words))):
-        cut = [(x, k) for k, w in enumerate(words) for x in (stretches(w) if len(w) > STRETCH else [core(w)])]
-        rows, owner = [w for w, _ in cut], np.array([k for _, k in cut])
-    symbols, alnum = _classes()
-    point = np.minimum(np.frombuffer(("\n".join(rows) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), 65_536)
-    end = np.flatnonzero(point == 10)
-    kept = np.flatnonzero(alnum[point])
-    word = np.searchsorted(end, kept)
-    size = np.bincount(word, minlength=len(rows))
-    at = np.concatenate([[0], np.cumsum(size + 2)])
-    out = np.zeros(at[-1], np.int32)
-    out[np.arange(len(kept)) + 2 * word + 1] = symbols[point[kept]]
-    word = np.repeat(np.arange(len(rows)), size + 2)
-    norm = sum((k - 1) * DECAY ** (2 * k - 4) * np.maximum(size + 2 - k, 0) for k in {k for _, k in OFFSETS})
-    return Flat(out, word, at[1:][word] - np.arange(len(out)), at[:-1], np.sqrt(np.maximum(norm, 1e-9)), owner)
-
-
-def codes(f: Flat) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(places, subsequence codes there, weight) of each pattern of skipped characters."""
-    for j, k in OFFSETS:
-        i = np.flatnonzero(f.left > k)
-        yield i, (f.symbol[i] * SYMBOLS + f.symbol[i + j]) * SYMBOLS + f.symbol[i + k], DECAY ** (k - 2)
-
-
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, weight) of every gapped subsequence of the words, and each row's word number.
-
-    Weights are scaled so that the squares of a row's occurrences add up to one.
+    first: np.ndarray  # place of each stretch's opening boundary
+    last: np.ndarray  # and of its closing one, or of its last letter inside a long word
+    text: np.ndarray  # number of each stretch's text, ascending
+    begin: np.ndarray  # where it begins and ends in the joined texts
+    end: np.ndarray
+    joined: str
+
+    def named(self, k: int) -> str:
+        return " ".join(self.joined[self.begin[k] : self.end[k]].split())
+
+    def symbols(self, k: int) -> bytes:
+        return self.symbol[self.first[k] : self.last[k] + 1].tobytes()
+
+
+def read(texts: Sequence[str]) -> Reading:
+    """Signs are left out, so that "i-d-i.ot" is a word; so are the gaps in runs of three or more single characters.
+
+    Stretches do not cross the ends of sentences or texts. Texts are lower-cased.
     """
-    f = flat(words)
-    parts = [(f.word[i], code, w / f.norm[f.word[i]]) for i, code, w in codes(f)]
-    row, code, weight = (np.concatenate(x) for x in zip(*parts))
-    return row, code, weight, f.owner
+    lowered = [t.lower() for t in texts]
+    joined = "\n".join(lowered) + "\n"
+    symbols, alnum, space, ends = _classes()
+    point = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65_536)
+    gap = space[point]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap])))
+    start, stop = edge[::2], edge[1::2]
+    letters = np.flatnonzero(alnum[point] & ~gap)
+    token = np.searchsorted(start, letters, "right") - 1
+    size = np.bincount(token, minlength=len(start))
+    # the end of a sentence: a sign at the end of a token, or a line break after it
+    broken = np.concatenate([[0], np.cumsum(ends[point])])
+    tail = np.append(start[1:], len(point))
+    closes = (broken[tail] - broken[stop - 1]) > 0 if len(start) else np.zeros(0, bool)
+    single = (size <= 1) & (stop - start <= 2)
+    # runs of single characters, signs between them or not, become one word
+    run = np.cumsum(np.concatenate([[True], ~(single[1:] & single[:-1])])) - 1 if len(start) else np.zeros(0, int)
+    text_ends = np.cumsum([len(t) + 1 for t in lowered])
+    owner = np.searchsorted(text_ends, start, "right")
+    if len(start):
+        split = np.concatenate([[False], owner[1:] != owner[:-1]])
+        run += np.cumsum(split)
+        short = np.bincount(run, weights=size)[run] < 3
+        short |= ~single
+        fresh = np.concatenate([[True], run[1:] != run[:-1]]) | short
+        said = size > 0
+        # a word's number counts those before it that have a letter
+        word = np.cumsum(fresh) - 1
+        sentence = np.concatenate([[0], np.cumsum((closes & ~(~short & np.append(run[1:] == run[:-1], False)))[:-1])]) + owner
+        has = np.bincount(word, weights=said) > 0
+        dense = np.cumsum(has) - 1
+        own = dense[word]
+        word_of = own[token]
+    else:
+        word_of, own, said, sentence = np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), np.zeros(0, int)
+    n = int(word_of[-1]) + 1 if len(word_of) else 0
+    flat = np.zeros(len(letters) + n + 1, np.uint8)
+    at = np.arange(len(letters)) + word_of + 1
+    flat[at] = symbols[point[letters]]
+    many = np.bincount(word_of, minlength=n)
+    closing = np.cumsum(many + 1)
+    opening = closing - many - 1
+    heads = np.flatnonzero(said)[np.unique(own[said], return_index=True)[1]] if n else np.zeros(0, int)
+    tails = len(said) - 1 - np.flatnonzero(said[::-1])[np.unique(own[said][::-1], return_index=True)[1]] if n else np.zeros(0, int)
+    begin, end, whose, of = start[heads], stop[tails], owner[heads], sentence[heads]
+    parts = [(opening, closing, np.arange(n), np.arange(n))]
+    for k in range(1, WORDS):
+        w = np.arange(max(0, n - k))
+        w = w[(of[w] == of[w + k]) & (whose[w] == whose[w + k]) & (closing[w + k] - opening[w] <= 2 * STRETCH)]
+        parts.append((opening[w], closing[w + k], w, w + k))
+    long = np.flatnonzero(many > STRETCH)
+    if len(long):
+        # pieces of STRETCH letters and what is next to them; the last one reaches the closing boundary
+        pieces = np.maximum(1, -(-(many[long] - STRETCH) // (STRETCH // 2)) + 1)
+        w = np.repeat(long, pieces)
+        step = (np.arange(len(w)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (STRETCH // 2)
+        first = opening[w] + step
+        parts[0] = tuple(np.delete(x, long) for x in parts[0])
+        parts.append((first, np.minimum(first + STRETCH + 1, closing[w]), w, w))
+    first, last, a, b = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(whose[a], kind="stable")
+    return Reading(flat, *(x[order].astype(np.int32) for x in (first, last, whose[a], begin[a], end[b])), joined)
+
+
+def hashes(r: Reading) -> np.ndarray:
+    """A 64-bit hash of each stretch's symbols, wherever it stands."""
+    power = np.full(len(r.symbol) + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_SYMBOL[r.symbol] * power[:-1], dtype=np.uint64)])
+    back = np.full(len(r.symbol) + 1, pow(_BASE, -1, 2**64), np.uint64)
+    back[0] = 1
+    return mix((sums[r.last + 1] - sums[r.first]) * np.multiply.accumulate(back)[r.first])
+
+
+def codes(symbol: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Subsequence codes at every place with ``width`` symbols behind it, for each middle symbol."""
+    s = symbol.astype(np.int32)
+    for j in range(1, width):
+        yield (s[: len(s) - width] * SYMBOLS + s[j : len(s) - width + j]) * SYMBOLS + s[width:]
+
+
+def subsequences(stretches: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, weight) of every gapped subsequence of each stretch; the squares of a row's occurrences add up to one."""
+    sizes = np.array([len(x) for x in stretches])
+    symbol = np.frombuffer(b"".join(stretches), np.uint8)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(symbol)) - 1
+    each = norm(sizes)
+    parts = []
+    for k in WIDTHS:
+        i = np.flatnonzero(left[: max(0, len(symbol) - k)] >= k)
+        parts += [(owner[i], code[i], DECAY ** (k - 2) / each[owner[i]]) for code in codes(symbol, k)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 @dataclass
 class Model:
-    """Decision of a word: sum of ``table`` over its weighted subsequences plus ``bias``; then a logistic curve."""
+    """Decision of a stretch: sum of ``table`` over its weighted subsequences plus ``bias``; then a logistic curve."""
 
     table: np.ndarray
     bias: float
     slope: float
     shift: float
 
-    def decisions(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        f = flat(words)
-        held = np.zeros(len(f.symbol))
-        for i, code, w in codes(f):
-            held[i] += w * self.table[code]
-        each = np.add.reduceat(held, f.start) / f.norm + self.bias
-        out = np.full(len(words), -np.inf)
-        np.maximum.at(out, f.owner, each)
-        return out
-
-    def probability(self, decision: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -30, 30))))
-
-
-def _kernel(words: list[str], dense: np.ndarray, lookup: np.ndarray) -> np.ndarray:
-    """Kernel of words with landmarks: ``dense`` holds the landmarks' weights by subsequence, ``lookup`` its rows.
-
-    Training takes long words by their first stretch.
-    """
-    out = np.zeros((len(words), dense.shape[1]), np.float32)
-    for a in range(0, len(words), 1000):
-        row, code, weight, owner = subsequences(words[a : a + 1000])
+    def decisions(self, r: Reading) -> np.ndarray:
+        out = np.zeros(len(r.first))
+        for k in WIDTHS:
+            if len(r.symbol) <= k:
+                continue
+            held = sum(self.table[code] for code in codes(r.symbol, k))
+            sums = np.concatenate([[0.0], np.cumsum(held, dtype=np.float64)])
+            end = np.maximum(r.last - k + 1, r.first)
+            out += DECAY ** (k - 2) * (sums[np.minimum(end, len(held))] - sums[np.minimum(r.first, len(held))])
+        return out / norm(r.last - r.first + 1) + self.bias
+
+    def worst(self, r: Reading, texts: int, each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's highest decision and the number of the stretch it comes from, -1 where a text has none."""
+        top, place = np.full(texts, NOTHING), np.full(texts, -1)
+        if len(r.first):
+            each = self.decisions(r) if each is None else each
+            head = np.flatnonzero(np.diff(r.text, prepend=-1))
+            best = np.maximum.reduceat(each, head)
+            hit = np.flatnonzero(each == np.repeat(best, np.diff(np.append(head, len(each)))))
+            top[r.text[head]] = best
+            place[r.text[head]] = hit[np.searchsorted(hit, head)]
+        return top, place
+
+    def probability(self, decision: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -30, 30)))
+
+
+def _kernel(stretches: Sequence[bytes], dense: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+    """Kernel of stretches with landmarks: ``dense`` holds the landmarks' weights by subsequence, ``lookup`` its rows."""
+    out = np.zeros((len(stretches), dense.shape[1]), np.float32)
+    for a in range(0, len(stretches), 1000):
+        row, code, weight = subsequences(stretches[a : a + 1000])
         place = lookup[code]
-        use = np.concatenate([[True], owner[1:] != owner[:-1]])[row] & (place < len(dense) - 1)
+        use = place < len(dense) - 1
         order = np.argsort(row[use], kind="stable")
         row, place, weight = row[use][order], place[use][order], weight[use][order]
         if len(row):
             start = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
-            out[a + owner[row[start]]] = np.add.reduceat(dense[place] * weight[:, None].astype(np.float32), start)
+            out[a + row[start]] = np.add.reduceat(dense[place] * weight[:, None].astype(np.float32), start)
     return out
 
 
@@ -198,130 +264,192 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray
     return w[:-1], float(w[-1])
 
 
-def _train_words(positive: dict[str, int], negative: dict[str, int], marks: list[str]) -> tuple[np.ndarray, float]:
-    """Table and bias of the machine that tells the two word sets apart."""
-    row, code, weight, owner = subsequences(marks)
+def train_stretches(positive: dict[bytes, float], negative: dict[bytes, float], marks: Sequence[bytes]) -> tuple[np.ndarray, float]:
+    """Table and bias of the machine that tells two sets of stretches apart, on the landmarks ``marks``."""
+    row, code, weight = subsequences(marks)
     used, place = np.unique(code, return_inverse=True)
     dense = np.zeros((len(used), len(marks)), np.float32)
-    np.add.at(dense, (place, owner[row]), weight.astype(np.float32))
-    gram = dense.T @ dense
-    values, vectors = np.linalg.eigh(gram.astype(np.float64))
+    np.add.at(dense, (place, row), weight.astype(np.float32))
+    values, vectors = np.linalg.eigh((dense.T @ dense).astype(np.float64))
     keep = values > 1e-4 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     lookup = np.full(SYMBOLS**3, len(used), np.int32)
     lookup[used] = np.arange(len(used), dtype=np.int32)
     padded = np.vstack([dense, np.zeros((1, len(marks)), np.float32)])
-    words = [*positive, *negative]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    seen = np.array([*positive.values(), *negative.values()], float)
-    cost = np.sqrt(seen)
+    cost = np.sqrt(np.array([*positive.values(), *negative.values()], float))
     for side in (1, -1):
         if (y == side).any():
             cost[y == side] *= STRICT / cost[y == side].sum()
-    w, bias = _machine(_kernel(words, padded, lookup) @ whiten, y, cost)
+    w, bias = _machine(_kernel([*positive, *negative], padded, lookup) @ whiten, y, cost)
     table = np.zeros(SYMBOLS**3, np.float32)
     table[used] = dense @ (whiten @ w).astype(np.float32)
     return table, bias
 
 
-def train(texts: list[tuple[list[str], int]], priors: tuple[float, float] | None = None) -> Model:
-    """Fit on (distinct words, label) of texts. Without both classes the score is a constant.
+def _grouped(texts: Sequence[str]) -> Iterator[list[str]]:
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+class Bag(NamedTuple):
+    """A group of training texts: their reading, the numbers of their stretches' hashes, and the labels."""
+
+    reading: Reading
+    number: np.ndarray
+    words: np.ndarray  # words of each stretch, one or more
+    label: np.ndarray
+
+
+def train(texts: Sequence[str], label: Sequence[int], priors: tuple[float, float] | None = None) -> Model:
+    """Fit on labelled texts. Without both classes the score is a constant.
 
     ``priors`` are the numbers of toxic and clean rows that the sample stands for.
     """
-    texts = [(sorted(set(words) - {""}), y) for words, y in texts]
-    texts = [(words, y) for words, y in texts if words]
-    label = np.array([y for _, y in texts])
-    if not len(texts) or label.min() == label.max():
-        share = 0.99 if len(texts) and label[0] else 0.01
+    label = np.array(label)
+    if not len(label) or label.min() == label.max():
+        share = 0.99 if len(label) and label[0] else 0.01
         return Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    vocabulary, place = np.unique(np.array([w for words, _ in texts for w in words], object), return_inverse=True)
-    first = np.concatenate([[0], np.cumsum([len(words) for words, _ in texts])])
-    owner = np.repeat(label, np.diff(first))
-    in_toxic = np.bincount(place[owner == 1], minlength=len(vocabulary))
-    in_clean = np.bincount(place[owner == 0], minlength=len(vocabulary))
+    bags, at = [], 0
+    for group in _grouped(texts):
+        r = read(group)
+        bags.append((r, hashes(r), label[at : at + len(group)]))
+        at += len(group)
+    known = np.unique(np.concatenate([h for _, h, _ in bags]))
+    bags = [Bag(r, np.searchsorted(known, h).astype(np.int32), 1 + _gaps(r), y) for r, h, y in bags]
+    in_toxic, in_clean = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    words = np.ones(len(known), np.int8)
+    for bag in bags:
+        words[bag.number] = np.minimum(bag.words, 100)
+        pair = np.unique(bag.reading.text.astype(np.int64) * len(known) + bag.number)
+        toxic = bag.label[pair // len(known)] == 1
+        in_toxic += np.bincount(pair[toxic] % len(known), minlength=len(known))
+        in_clean += np.bincount(pair[~toxic] % len(known), minlength=len(known))
     share = label.mean()
     scale = share / (1 - share)
 
-    # Positive words: hardly in clean texts, and seen in toxic ones more often than chance makes any of
-    # the equally frequent words (Chernoff bound times their number).
+    # Telling stretches: hardly in clean texts, and seen in toxic ones more often than chance makes any of
+    # the equally frequent ones (Chernoff bound times their number). Of nested ones the shortest counts.
     n = in_toxic + in_clean
-    p = np.clip(in_toxic / n, 1e-9, 1 - 1e-9)
-    bound = np.log(np.bincount(n)[n]) - n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
+    p = np.clip(in_toxic / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    bound = np.log(np.maximum(np.bincount(n)[n], 1)) - n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
     rare_in_clean = in_toxic >= 10 * in_clean * scale
-    start = np.flatnonzero(rare_in_clean & (in_toxic >= 2) & (bound < -1))
+    telling = rare_in_clean & (in_toxic >= 2) & (bound < -1)
+    for bag in bags:
+        telling[bag.number[_holds(bag, telling)]] = False
+    start = np.flatnonzero(telling)
     if not len(start):
-        start = np.lexsort((np.arange(len(n)), in_clean - in_toxic))[:20]
-    start = start[np.argsort(bound[start], kind="stable")][:1500]
+        start = np.lexsort((known, in_clean - in_toxic))[:20]
+    start = start[np.argsort(bound[start], kind="stable")][:TELLING]
     positive = Counter({int(i): int(in_toxic[i]) for i in start})
-    usual = np.lexsort((np.arange(len(n)), -in_clean))
-    usual = usual[in_clean[usual] > 0]
-    order = {int(i): hash_of(vocabulary[i]) for i in usual}
-    rare = sorted(map(int, usual[2000:]), key=order.__getitem__)[:3000]
-    negative = Counter({i: int(in_clean[i]) for i in [*map(int, usual[:2000]), *rare] if i not in positive})
-
-    def worst(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions of all words, each text's word of the highest one, and that decision."""
-        each = np.concatenate([model.decisions(list(vocabulary[k : k + 20_000])) for k in range(0, len(vocabulary), 20_000)])
-        own = each[place]
-        top = np.maximum.reduceat(own, first[:-1])
-        hit = np.flatnonzero(own == np.repeat(top, np.diff(first)))
-        return each, place[hit[np.searchsorted(hit, first[:-1])]], top
-
-    clean_words = {vocabulary[i] for i in usual}
+    usual = np.flatnonzero((in_clean > 0) & (words == 1))
+    usual = usual[np.lexsort((known[usual], -in_clean[usual]))]
+    rare = usual[USUAL:][np.argsort(known[usual[USUAL:]])][:OTHERS]
+    negative = Counter({int(i): int(in_clean[i]) for i in [*usual[:USUAL], *rare] if int(i) not in positive})
+
+    spelt: dict[int, bytes] = {}
+
+    def spell(wanted: set[int]) -> None:
+        """Symbols of stretches, from the texts that have them."""
+        need = np.array(sorted(wanted - spelt.keys()), np.int64)
+        for bag in bags:
+            if len(need):
+                hit = np.flatnonzero(np.isin(bag.number, need))
+                for i, k in zip(*np.unique(bag.number[hit], return_index=True)):
+                    spelt.setdefault(int(i), bag.reading.symbols(hit[k]))
+
+    clean_words = set()
+    spell(set(positive) | set(negative))
+    clean_words = {spelt[i] for i in negative}
     model = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 1.0, 0.0)
     for _ in range(ROUNDS):
         half = LANDMARKS // 2
         marks = [i for i, _ in positive.most_common(half)]
         marks += [i for i, _ in negative.most_common(half // 2)]
-        marks += sorted(set(negative) - set(marks), key=order.__getitem__)[: half - half // 2]
-        toxic = {vocabulary[i]: c for i, c in positive.items()}
+        marks += sorted(set(negative) - set(marks), key=known.__getitem__)[: half - half // 2]
+        toxic = {spelt[i]: c for i, c in positive.items()}
         for i, c in positive.most_common(SPELLED):
-            toxic |= {w: max(1, c // 10) for w in spellings(vocabulary[i]) if w not in toxic and not clean_words & {w}}
-        table, bias = _train_words(
-            toxic, {vocabulary[i]: c for i, c in negative.items()},
-            [vocabulary[i] for i in marks],
-        )
+            toxic |= {w: max(1, c // 10) for w in spellings(spelt[i]) if w not in toxic and w not in clean_words}
+        table, bias = train_stretches(toxic, {spelt[i]: c for i, c in negative.items()}, [spelt[i] for i in marks])
         model = Model(table, bias, 1.0, 0.0)
-        each, word, top = worst(model)
-        known = np.zeros(len(vocabulary), bool)
-        known[list(positive)] = True
-        speaks = np.logical_or.reduceat(known[place], first[:-1])
-        changed = False
-        for i in map(int, word[(label == 1) & ~speaks & (top > 0)]):
-            if not in_clean[i] and i not in positive:
-                positive[i], changed = int(in_toxic[i]), True
-        wrong = np.flatnonzero((in_clean > 0) & ~(known & rare_in_clean) & (each > -0.8))
-        for i in map(int, wrong[np.argsort(-each[wrong], kind="stable")][:HARD]):
+        chosen = np.zeros(len(known), bool)
+        chosen[list(positive)] = True
+        found: dict[int, float] = {}
+        joined: set[int] = set()
+        for bag in bags:
+            each = model.decisions(bag.reading)
+            top, place = model.worst(bag.reading, len(bag.label), each)
+            speaks = np.zeros(len(bag.label), bool)
+            speaks[bag.reading.text[chosen[bag.number]]] = True
+            for k in place[(bag.label == 1) & ~speaks & (top > 0) & (place >= 0)]:
+                i = int(bag.number[k])
+                if not in_clean[i]:
+                    joined.add(i)
+            wrong = np.flatnonzero((in_clean[bag.number] > 0) & ~(chosen & rare_in_clean)[bag.number] & (each > -0.8))
+            for k in wrong[np.argsort(-each[wrong], kind="stable")][: 4 * HARD]:
+                found[int(bag.number[k])] = float(each[k])
+        spell(joined)
+        changed = bool(joined - positive.keys())
+        positive.update({i: int(in_toxic[i]) for i in joined if i not in positive})
+        hard = sorted(found, key=lambda i: (-found[i], known[i]))[:HARD]
+        spell(set(hard))
+        for i in hard:
             changed = changed or i not in negative
             positive.pop(i, None)
             negative[i] += 3
         if not changed:
             break
-    *_, top = worst(model)
+    top = np.concatenate([model.worst(bag.reading, len(bag.label))[0] for bag in bags])
     weigh = np.where(label == 1, 1.0, 1.0 if priors is None else priors[1] / max(priors[0], 1e-9) * scale)
     model.slope, model.shift = _logistic(np.clip(top, -5, 5), label.astype(float), weigh)
     return model
 
 
-def spellings(word: str) -> set[str]:
-    """A word with a doubled or a foreign letter inserted, or a letter left out."""
+def _gaps(r: Reading) -> np.ndarray:
+    """Boundaries strictly inside each stretch."""
+    sums = np.concatenate([[0], np.cumsum(r.symbol == 0)])
+    return sums[r.last] - sums[np.minimum(r.first + 1, r.last)]
+
+
+def _holds(bag: Bag, telling: np.ndarray) -> np.ndarray:
+    """Stretches of several words that hold a shorter telling one."""
+    r = bag.reading
+    out = np.zeros(len(r.first), bool)
+    for n in range(1, WORDS):
+        hit = np.flatnonzero((bag.words == n) & telling[bag.number])
+        # the first telling one of n words that begins at a place or behind it: where does it end
+        ends = np.full(len(r.symbol) + 1, len(r.symbol), np.int64)
+        ends[r.first[hit]] = r.last[hit]
+        ends = np.minimum.accumulate(ends[::-1])[::-1]
+        out |= (bag.words > n) & (ends[r.first] <= r.last)
+    return out
+
+
+def spellings(stretch: bytes) -> set[bytes]:
+    """A stretch with a doubled or a foreign letter inserted, or a letter left out."""
     out = set()
-    for k in range(1, len(word)):
-        other = "abcdefghijklmnopqrstuvwxyz"[hash_of(f"{word}{k}") % 26]
-        for middle in (word[k - 1], other):
-            out.add(word[:k] + middle + word[k:])
-        if len(word) > 4 and k < len(word) - 1:
-            out.add(word[:k] + word[k + 1 :])
+    for k in range(2, len(stretch) - 1):
+        other = 1 + int(mix(np.array([hash_of(stretch) + k], np.uint64))[0] % np.uint64(26))
+        for middle in (stretch[k - 1], other):
+            out.add(stretch[:k] + bytes([middle]) + stretch[k:])
+        if len(stretch) > 6 and k < len(stretch) - 2:
+            out.add(stretch[:k] + stretch[k + 1 :])
     return out
 
 
-def hash_of(word: str) -> int:
-    """A fixed order of words that has nothing to do with the alphabet."""
+def hash_of(stretch: bytes) -> int:
+    """A fixed number of a stretch that has nothing to do with the alphabet."""
     h = 14695981039346656037
-    for b in word.encode("utf-8", "surrogatepass"):
+    for b in stretch:
         h = (h ^ b) * 1099511628211 & (2**64 - 1)
-    return h
+    return h >> 8
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -345,9 +473,9 @@ def may_learn(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most ``sample`` labelled rows of each class (by a hash of the id) that ``may_learn`` allows.
+    """Train on at most ``sample`` labelled rows of each class that ``may_learn`` allows, whole texts of SAMPLE_CHARS characters together.
 
-    Rows with a null id, text or label are left out. Only the distinct words of the sampled texts reach the driver.
+    Rows are taken by a hash of the id, the classes in turn. Rows with a null id, text or label are left out.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(
@@ -356,50 +484,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = [F.xxhash64("id", F.lit(5)), F.col("id")]
     picked = known.where("y = 1").orderBy(*order).limit(sample).unionByName(known.where("y = 0").orderBy(*order).limit(sample))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(set(map(core, tokens_of(t.as_py())))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
-
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    joined = read.join(F.broadcast(picked), "id").select("y", "text")  # at most 2 * sample rows are broadcast
-    texts = [(r["words"], r["y"]) for r in joined.mapInArrow(words, "y int, words array<string>").toLocalIterator()]
-    texts.sort(key=lambda x: (x[1], x[0]))
-    return train(texts, (float(counts.get(1, 0)), float(counts.get(0, 0))))
-
-
-def _scored(model: Model, texts: pa.Array) -> tuple[list[float], list[str]]:
-    """Score and worst word of each text; decisions of words are kept from task to task, within a bound."""
-    memo = kept("toxicity").setdefault(hash((model.bias, model.slope, model.shift, float(model.table.sum()))), {})
-    scores, worst = [], []
-    at = 0
-    while at < len(texts):
-        group, size = [], 0
-        while at < len(texts) and size < 1 << 20:
-            text = texts[at].as_py() or ""
-            group.append(tokens_of(text))
-            size += len(text)
-            at += 1
-        new = list(set().union(*group) - memo.keys())
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(set().union(*group))
-        for a in range(0, len(new), 4000):
-            part = new[a : a + 4000]
-            memo.update(zip(part, model.decisions(part).tolist()))
-        for words in group:
-            w = max(words, key=memo.__getitem__, default="")
-            scores.append(model.probability(memo[w] if w else -5.0))
-            worst.append(core(w))
-    return scores, worst
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    with scope():
+        joined = own.join(F.broadcast(picked), "id").withColumn("h", order[0])  # at most 2 * sample rows are broadcast
+        taken = save(joined, "labelled")
+        sizes = sorted((r["y"], r["h"], r["n"]) for r in taken.select("y", "h", F.length("text").alias("n")).toLocalIterator())
+        turns = {y: sorted((k, y, h, n) for k, (h, n) in enumerate((h, n) for z, h, n in sizes if z == y)) for y in (0, 1)}
+        upto, held = {0: None, 1: None}, 0
+        for _, y, h, n in sorted([*turns[0], *turns[1]]):
+            held += n
+            if held > SAMPLE_CHARS and upto[y] is not None:
+                break
+            upto[y] = h
+        within = [(F.col("y") == y) & (F.col("h") <= h) for y, h in upto.items() if h is not None]
+        rows = [] if not within else [
+            (r["y"], r["h"], r["text"]) for r in taken.where(within[0] if len(within) == 1 else within[0] | within[1]).toLocalIterator()
+        ]
+    rows.sort()
+    return train([t for _, _, t in rows], [y for y, _, _ in rows], (float(counts.get(1, 0)), float(counts.get(0, 0))))
+
+
+def _scored(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Score and worst stretch of each text."""
+    kept("toxicity")
+    scores, worst = [np.zeros(0)], []
+    for group in _grouped(t.as_py() or "" for t in texts):
+        r = read(group)
+        top, place = model.worst(r, len(group))
+        scores.append(model.probability(top))
+        worst += [r.named(k) if k >= 0 else "" for k in place]
+    return np.concatenate(scores), worst
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, worst`` of every whole text: probability of label 1, and the word it comes from.
+    """``doc_id, score, worst`` of every whole text: probability of label 1, and the stretch of words it comes from.
 
-    Null and empty texts have no word and get the score of the least toxic decision; repeated rows score
-    alike; other columns are never read. The model (about 1 MB) is broadcast.
+    Null and empty texts and those of signs alone have no word and get the score of the least toxic decision;
+    repeated rows score alike; other columns are never read. The model (about 1 MB) is broadcast.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.slope, model.shift))
@@ -428,6 +549,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: flo
         own = Model(*shared.value)
         for batch in batches:
             scores, _ = _scored(own, batch.column(at))
-            yield batch.filter(pa.array(np.array(scores) < limit))
+            yield batch.filter(pa.array(scores < limit))
 
     return docs.mapInArrow(run, docs.schema)

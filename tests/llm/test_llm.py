@@ -104,16 +104,114 @@ def test_chat_nulls_ties_and_empty_logs(spark):
 # 2 toxicity
 
 
+def plain_stretches(text):
+    """Letters of the stretches of a text, words apart by a space, by loops over characters."""
+    tokens, at, text = [], 0, text.lower()
+    for m in re.finditer(r"\S+", "".join(" " if c.isspace() else c for c in text)):
+        tokens.append((m.start(), m.end(), "".join(c for c in text[m.start() : m.end()] if c.isalnum())))
+    runs, k = [], 0
+    while k < len(tokens):
+        n = k
+        while n < len(tokens) and len(tokens[n][2]) <= 1 and tokens[n][1] - tokens[n][0] <= 2:
+            n += 1
+        long = sum(len(t[2]) for t in tokens[k:n]) >= 3
+        runs += [tokens[k:n]] if long else [[t] for t in tokens[k : max(n, k + 1)]]
+        k = max(n, k + 1)
+    words, sentence = [], 0
+    for k, run in enumerate(runs):
+        letters = "".join(t[2] for t in run)
+        if letters:
+            words.append((letters, sentence))
+        end = runs[k + 1][0][0] if k + 1 < len(runs) else len(text)
+        sentence += any(c in toxicity.ENDS for c in text[run[-1][1] - 1 : end])
+    out = []
+    for k, (w, _) in enumerate(words):
+        if len(w) > 30:
+            out += [f" {w} "[i : i + 32].strip() for i in range(0, len(w) - 15, 15)]
+        else:
+            out.append(w)
+        for n in (2, 3):
+            some = words[k : k + n]
+            if len(some) == n and len({x[1] for x in some}) == 1 and sum(len(x[0]) + 1 for x in some) <= 60:
+                out.append(" ".join(x[0] for x in some))
+    return sorted(out)
+
+
+def test_readings_equal_plain_loops():
+    rng = random.Random(6)
+    parts = ["a", "bb", "cab", " ", "  ", ".", "!", "-", "\n", " \n", "é", "中", "😀", "x y z", "w o r d s", "\t", "q" * 33, "l0ng" * 20, "a-b", ". ", "#", "? "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(600)]
+    r = toxicity.read(texts)
+    symbols, *_ = toxicity._classes()
+    name = lambda t: bytes(0 if c == " " else int(symbols[min(ord(c), 65_536)]) for c in t)
+    got = defaultdict(list)
+    for k, t in enumerate(r.text):
+        got[t].append(r.symbols(k).strip(b"\0"))
+    for k, t in enumerate(texts):
+        assert sorted(got[k]) == sorted(name(x) for x in plain_stretches(t)), repr(t)
+    # hashes tell stretches apart exactly as their symbols do, a piece of a word from the whole one included
+    pairs = {(int(h), r.symbols(k)) for k, h in enumerate(toxicity.hashes(r))}
+    assert len({h for h, _ in pairs}) == len({x for _, x in pairs}) == len(pairs)
+
+
+def plain_features(stretch):
+    out = defaultdict(float)
+    for i in range(len(stretch)):
+        for k in (2, 3, 4):
+            for j in range(1, k):
+                if i + k < len(stretch):
+                    out[(stretch[i], stretch[i + j], stretch[i + k])] += 0.55 ** (k - 2)
+    size = sum((k - 1) * 0.55 ** (2 * k - 4) * max(len(stretch) - k, 0) for k in (2, 3, 4)) ** 0.5
+    return {code: w / max(size, 1e-4) for code, w in out.items()}
+
+
+def test_kernel_and_decisions_equal_brute_force():
+    """The kernel, and decisions as sums over landmarks, against subsequences written out one by one."""
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(60)) + ". " + "xyz" * 30
+    r = toxicity.read([text])
+    stretches = [r.symbols(k) for k in range(len(r.first))]
+    marks = sorted(set(stretches))[::9]
+    features = [plain_features(x) for x in stretches]
+    mark_features = [plain_features(x) for x in marks]
+    want = np.array([[sum(w * g.get(c, 0.0) for c, w in f.items()) for g in mark_features] for f in features])
+    row, code, weight = toxicity.subsequences(marks)
+    used, place = np.unique(code, return_inverse=True)
+    dense = np.zeros((len(used) + 1, len(marks)), np.float32)
+    np.add.at(dense, (place, row), weight)
+    lookup = np.full(toxicity.SYMBOLS**3, len(used))
+    lookup[used] = np.arange(len(used))
+    assert np.allclose(toxicity._kernel(stretches, dense, lookup), want, atol=1e-5)
+    alpha = np.array([rng.uniform(-1, 1) for _ in marks])
+    table = np.zeros(toxicity.SYMBOLS**3)
+    table[used] = dense[:-1] @ alpha
+    assert np.allclose(toxicity.Model(table, 0.25, 1.0, 0.0).decisions(r), want @ alpha + 0.25, atol=1e-4)
+
+
+def toxic_score(model, text):
+    return float(model.probability(model.worst(toxicity.read([text]), 1)[0])[0])
+
+
 def test_toxicity_finds_learned_and_misspelt_insults():
     rng = random.Random(1)
     clean = ["".join(rng.choices(["ba", "co", "di", "fu", "ge", "ha"], k=rng.randint(1, 4))) for _ in range(800)]
-    texts = [([*rng.sample(clean, 30)], 0) for _ in range(150)] + [([*rng.sample(clean, 30), rng.choice(["zorkel", "vimplo"])], 1) for _ in range(60)]
-    model = toxicity.train(texts, (60, 150))
-    score = lambda w: model.probability(float(model.decisions([w])[0]))
-    assert score("zorkel") > 0.5 and score("vimplo!") > 0.5
-    assert score("z-o.rkel") > 0.5 and score("zorrkel") > 0.5
-    assert max(score(w) for w in clean[:200]) < 0.5
-    assert "zorkel" in {toxicity.core(t) for t in toxicity.tokens_of("so z o r k e l !")}
+    texts = [(" ".join(rng.sample(clean, 30)), 0) for _ in range(150)] + [(" ".join([*rng.sample(clean, 30), rng.choice(["zorkel", "vimplo"])]), 1) for _ in range(60)]
+    model = toxicity.train(*zip(*texts), (60, 150))
+    for said in ("zorkel", "vimplo!", "z-o.rkel", "zorrkel", "so z o r k e l !", "ba co. Vimplo", "Z.o.r.k.e.l"):
+        assert toxic_score(model, said) > 0.5, said
+    assert max(toxic_score(model, w) for w in clean[:200]) < 0.5 and toxic_score(model, " ".join(clean)) < 0.5
+
+
+def test_a_phrase_of_ordinary_words_is_learned():
+    """Each word is in clean texts as well, only their sequence inside a sentence is not."""
+    rng = random.Random(2)
+    clean = ["".join(rng.choices(["ba", "co", "di", "fu", "ge", "ha"], k=rng.randint(1, 4))) for _ in range(400)] + ["go", "home"]
+    said = lambda n: " ".join(rng.choices(clean, k=n))
+    texts = [(f"{said(10)} home {said(9)} go. home {said(9)}", 0) for _ in range(200)] + [(f"{said(15)} go home {said(15)}", 1) for _ in range(100)]
+    model = toxicity.train(*zip(*texts), (100, 200))
+    assert toxic_score(model, f"{said(5)} go home {said(5)}") > 0.5
+    for fine in ("go", "home", "home go", "they go. Home again", " ".join(w for w in clean if w != "go")):
+        assert toxic_score(model, fine) < 0.5, fine
 
 
 def test_toxicity_edges(spark, edge, empty):
@@ -122,16 +220,29 @@ def test_toxicity_edges(spark, edge, empty):
     out = toxicity.score(edge, model).collect()
     assert len(out) == edge.count() and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.score(empty, model).count() == 0
-    assert toxicity.drop_toxic(edge, toxicity.train([])).schema == edge.schema
-    assert toxicity.drop_toxic(edge, toxicity.train([])).count() == edge.count()
-
-
-def test_toxicity_held_out(spark, sf_dir):
+    assert toxicity.fit(empty, labels).slope == 0.0 and toxicity.fit(edge, labels.where("false")).slope == 0.0
+    assert toxicity.drop_toxic(edge, toxicity.train([], [])).schema == edge.schema
+    assert toxicity.drop_toxic(edge, toxicity.train([], [])).count() == edge.count()
+    for text in ("", " ", "...", "a", "\n\n.", "é" * 100):
+        toxicity.train([text, "b c d"], [1, 0])
+
+
+def test_toxicity_held_out(spark):
+    """On rows that training did not see: better than the majority, and at least the ranking of the last round."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet").where("toxic IS NOT NULL")
+    rows = queries.op2_toxicity(spark, at).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
+    score, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    accuracy = np.mean([r["predicted"] == r["toxic"] for r in rows])
+    rank = np.searchsorted(np.sort(score), score, "left") + np.searchsorted(np.sort(score), score, "right") + 1
+    area = (rank[y == 1].sum() / 2 - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (y == 0).sum())
+    assert len(rows) > 700 and accuracy > max(y.mean(), 1 - y.mean()) + 0.05 and accuracy > 0.96
+    assert area > 0.944
+
+
+def test_every_document_gets_one_score(spark, sf_dir):
     out = queries.op2_toxicity(spark, sf_dir)
-    assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    joined = out.join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
-    assert joined > 0.85
+    assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() == out.select("doc_id").distinct().count()
 
 
 # 3 mixing
@@ -404,12 +515,14 @@ def test_language_edges(spark, edge, empty):
 
 
 def test_insults_across_cuts_stay_whole_in_a_stretch():
+    letters = bytes(ord(c) - 96 for c in "disgusting")
     for k in range(60):
         word = "-".join("x" * k + "disgusting" + "y" * 40)
-        spaced = word.replace("-", " - ")
-        assert any("disgusting" in x for x in toxicity.stretches(word)) and any("disgusting" in x for x in toxicity.tokens_of(spaced)), k
-        # every row of the long word is a full stretch at most, and no letter is lost
-        assert np.bincount(toxicity.flat([word]).word).max() <= toxicity.STRETCH + 2
+        for said in (word, word.replace("-", " - "), word.replace("-", " ")):
+            r = toxicity.read([said])
+            assert any(letters in r.symbols(j) for j in range(len(r.first))), k
+            # every piece of the long word is short, and no letter is lost
+            assert np.max(r.last - r.first) <= toxicity.STRETCH + 1 and {*range(1, len(r.symbol) - 1)} <= {p for j in range(len(r.first)) for p in range(r.first[j], r.last[j] + 1)}
 
 
 def test_every_language_is_learned(spark, monkeypatch):
