@@ -54,6 +54,8 @@ class ByteBPE:
         letters, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: first characters of special strings: a text without any of them needs no look for specials
+        self.heads = {t[0] for t in self.special if t}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.first = {b: vocab[c] for c, b in letters.items() if c in vocab}
         #: left id and right id, 20 bits each, to rank and merged id
@@ -85,7 +87,7 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers. Special strings inside the text become their ids."""
         out: list[bytes] = []
         find = WORD.findall if NOT_LATIN.search(text) else LATIN_WORD.findall
-        for part in self.cut.split(text) if self.cut and "<" in text else (text,):
+        for part in self.cut.split(text) if self.cut and any(map(text.__contains__, self.heads)) else (text,):
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
                 continue

@@ -170,7 +170,8 @@ def mix_documents(
 
     Adds ``mix_pass, mix_block, mix_rank, mix_epochs, mix_weight, mix_at``: sorting by ``mix_at`` (the
     block's place in [0, 1)) and ``mix_rank`` interleaves the sources in their weights. A null source
-    is a source of its own; repeated rows are placed alike; an empty table stays empty. Names that clash with the added columns are replaced.
+    is a source of its own; repeated rows are placed alike; an empty table stays empty; a text longer than its
+    source's last pass is in the whole passes only. Names that clash with the added columns are replaced.
     """
     chosen = save(plan(docs, mix, id_col, source_col, text_col), "plan")
     added = ["mix_pass", "mix_block", "mix_rank", "mix_epochs", "mix_weight", "mix_at"]

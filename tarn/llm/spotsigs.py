@@ -147,7 +147,7 @@ def similar_pairs(prints: DataFrame, at_least: float = 0.75, ratio: float | None
     rows = one.select("fingerprint", "n", F.explode("spots").alias("spot"))
     often = rows.groupBy("spot").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("fingerprint").orderBy("df", "spot")
-    kept = rows.join(often, "spot").where("df > 1 or n > 0").withColumn("place", F.row_number().over(order))
+    kept = rows.join(often, "spot").withColumn("place", F.row_number().over(order))
     prefix = kept.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1).where("df > 1")
     width = F.log(F.lit(1.0 / (ratio or at_least)))
     part = F.floor(F.log("n") / width).cast("int")
@@ -212,7 +212,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     home = own.join(F.broadcast(needs), F.col("id") == F.col("top"), "left").withColumn(
         "guest", F.explode(F.when(F.col("need").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
     ).withColumn("s", F.when(F.col("guest"), F.col("need")).otherwise(F.col("s")))
-    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(len(spans), 4000))
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(spans))
     dealt = home.repartition(count, "s").sortWithinPartitions(
         "s", "guest", F.col("id").desc(), F.col("text")
     ).select("doc_id", "s", "guest", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -284,6 +285,42 @@ def test_mixing_edges(spark, edge, empty):
     assert mixing.mix_documents(empty, mixing.Mix(max_repeats=1.25)).count() == 0
 
 
+def test_op3_rows_equal_plain_python(spark, sf_dir, docs):
+    """Weights, epochs and what each pass of each source takes, from the texts alone."""
+    text = {r["doc_id"]: (r["source"], max(1, len(WORD.findall(r["text"] or "")))) for r in docs.collect()}
+    sizes = defaultdict(int)
+    for source, n in text.values():
+        sizes[source] += n
+    total = sum(sizes.values())
+    share = {s: t / total for s, t in sizes.items()}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        times = [q ** (a - 1) for q in share.values()]
+        low, high = (a, high) if max(times) / min(times) > queries.MIX.max_repeats else (low, a)
+    z = sum(q**high for q in share.values())
+    weight = {s: q**high / z for s, q in share.items()}
+    budget = max(sizes[s] / weight[s] for s in sizes)
+    rows = queries.op3_mixing(spark, sf_dir).collect()
+    for r in rows:
+        assert abs(r["mix_weight"] - weight[r["source"]]) < 1e-6
+        assert abs(r["mix_epochs"] - budget * weight[r["source"]] / sizes[r["source"]]) < 1e-5 and 0 <= r["mix_at"] <= 1
+    for s in sizes:
+        own = [r for r in rows if r["source"] == s]
+        epochs = own[0]["mix_epochs"]
+        for k in range(int(epochs)):
+            assert sorted(r["doc_id"] for r in own if r["mix_pass"] == k) == sorted(i for i, (x, _) in text.items() if x == s)
+        last = {r["doc_id"] for r in own if r["mix_pass"] == int(epochs)}
+        assert len([r for r in own if r["mix_pass"] >= int(epochs)]) == len(last)
+        left = (epochs - int(epochs)) * sizes[s] - sum(text[i][1] for i in last)
+        # of the last pass at most one block is cut, between two documents
+        blocks = defaultdict(set)
+        for r in own:
+            blocks[r["mix_block"]].add(r["doc_id"])
+        cut = [b for b in blocks.values() if b & last and not b <= last]
+        assert len(cut) <= 1 and left >= -1 and (left < 1 or left <= max(text[i][1] for b in (cut or blocks.values()) for i in b - last))
+
+
 # 4 fingerprints
 
 
@@ -303,6 +340,64 @@ def test_op4_against_plain_python(spark, docs, sf_dir, monkeypatch):
         assert abs(r["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
 
 
+def plain_signatures(text):
+    """Signatures as tuples of words, by loops."""
+    words = WORD.findall(text.translate(LOWER))
+
+    def bare(w):
+        a, b = 0, len(w)
+        sign = lambda c: unicodedata.category(c)[0] not in "LMN"
+        while a < b and sign(w[a]):
+            a += 1
+        while b > a and sign(w[b - 1]):
+            b -= 1
+        return w[a:b] or w
+
+    cores = [bare(w) for w in words]
+    common = [c in set(spotsigs.ANCHORS) for c in cores]
+    out, covered = set(), [False] * len(words)
+    for k in range(len(words)):
+        if common[k]:
+            content = [j for j in range(k + 1, len(words)) if not common[j]]
+            for d in (1, 2):
+                if len(content) > d:
+                    out.add((cores[k], d, words[content[0]], words[content[d]]))
+                    covered[k : content[d] + 1] = [True] * (content[d] + 1 - k)
+    for k in range(len(words) - 1):
+        if not covered[k] and not covered[k + 1]:
+            out.add((words[k], words[k + 1]))
+    return out or {(w,) for w in words}
+
+
+def test_op4_against_chains_by_loops(spark, docs, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op4_fingerprints(spark, sf_dir).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if len(r["text"] or "") < 4000), reverse=True)
+    order = sorted(got, reverse=True)
+    texts = dict(rows)
+    prints = defaultdict(set)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    checked = 0
+    for i, t in rows:
+        own = plain_signatures(t)
+        prints[frozenset(own)].add(got[i]["fingerprint"])
+        after = order[(order.index(i) + 1) % len(order)]
+        if after in texts:
+            u = texts[after]
+            assert abs(got[i]["near_next"] - alike(own, plain_signatures(u))) < 1e-12
+            assert abs(got[i]["near_edited"] - alike(own, plain_signatures(t[: len(t) - len(t) // 3] + u[: len(t) // 3]))) < 1e-12
+            checked += 1
+    # one fingerprint for each set of signatures, and none shared by two sets
+    assert checked > 100 and all(len(p) == 1 for p in prints.values()) and len(set().union(*prints.values())) == len(prints)
+
+
+def test_spot_pairs_of_few_rows(spark, empty):
+    assert spotsigs.similar_pairs(spotsigs.fingerprints(empty)).count() == 0
+    # one chain that every text has, and nothing else in common
+    rows = [(k, f"the same start k{k} " + " ".join(f"w{k}x{j}" for j in range(20))) for k in range(30)]
+    prints = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert spotsigs.similar_pairs(prints).count() == 0
+
+
 def test_spot_chains_follow_anchors():
     keys = spotsigs._hashes_of(["the", "a"])
     one, = spotsigs.spot_sets([b"The cat sat on a mat by night"], keys, distances=(1,))
@@ -415,6 +510,33 @@ def test_lookup_table_is_balanced_and_stable():
         shardmap.lookup_table(names, 1000)
 
 
+def test_op6_rows_equal_turns_taken_one_by_one(spark, sf_dir, docs):
+    """The table filled from written-out permutations, and slots from MD5, for every document."""
+    number = lambda name, salt: int.from_bytes(hashlib.sha256(f"{salt}:{name}".encode()).digest()[:8], "big")
+    m = shardmap.SLOTS
+    preference = {}
+    for s in queries.SHARDS:
+        offset, skip = number(s, "offset") % m, number(s, "skip") % (m - 1) + 1
+        preference[s] = iter([(offset + j * skip) % m for j in range(m)])
+    owner = {}
+    while len(owner) < m:
+        for s in queries.SHARDS:
+            if len(owner) < m:
+                owner[next(p for p in preference[s] if p not in owner)] = s
+    for r in queries.op6_sharding(spark, sf_dir).collect():
+        slot = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16) % m
+        assert (r["slot"], r["shard"]) == (slot, owner[slot])
+
+
+def test_written_shards_take_nulls_and_refuse_an_existing_path(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (None, "a"), (None, None), (2, None)], "doc_id bigint, shard string")
+    path = f"file://{tmp_path}/out"
+    shardmap.write_shards(rows, path, 2)
+    assert sorted(map(repr, spark.read.parquet(path).select("doc_id", "shard").collect())) == sorted(map(repr, rows.collect()))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        shardmap.write_shards(rows, path, 2)
+
+
 def test_placement_edges(spark, edge, empty, tmp_path):
     clash = edge.withColumn("slot", F.lit("x")).withColumn("shard", F.lit("y"))
     out = shardmap.place(clash, "doc_id", ["a", "b"], 101)
@@ -505,6 +627,32 @@ def test_languages(spark, sf_dir, docs):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.93
 
 
+def test_op8_rows_equal_the_network_by_loops(spark, sf_dir, docs):
+    """Language and score of every document up to 6,000 characters, from windows and filters applied one by one."""
+    net = langid.fit(docs)
+    got = {r["doc_id"]: r for r in queries.op8_langid(spark, sf_dir).collect()}
+    for r in docs.collect():
+        text = r["text"]
+        out = got[r["doc_id"]]
+        if len(text or "") > 6000:
+            continue
+        if not text or not any(c.isalpha() for c in text):
+            assert (out["lang_pred"], out["score"]) == ("und", 0.0)
+            continue
+        data = text.lower().encode()
+        total = 0.0
+        for at in range(0, len(data), 256):
+            part = data[at : at + 256]
+            x = np.frombuffer(part.ljust(256, b"\0"), np.uint8)
+            tops = [v for w in (2, 3, 4) for v in np.max([sum(net.filters[w][j][x[k + j]] for j in range(w)) for k in range(257 - w)], 0)]
+            z = np.maximum(np.array(tops) + net.bias, 0) @ net.out + net.out_bias
+            e = np.exp(z - z.max())
+            total = total + e / e.sum() * len(part)
+        p = total / len(data)
+        assert out["lang_pred"] == net.languages[int(p.argmax())] or sorted(p)[-1] - sorted(p)[-2] < 1e-4
+        assert abs(out["score"] - p.max()) < 1e-4
+
+
 def test_language_edges(spark, edge, empty):
     net = langid.train(*_toy())
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(edge, net).collect()}
@@ -703,3 +851,13 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
         assert bytes(r["ids"]) == own.encode(text[r["doc_id"]])
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
     assert len(left) <= len(out) <= 1.3 * len(left)
+
+
+def test_mixed_documents_come_in_the_order_of_the_stream(spark, docs):
+    import corpus_pipeline
+
+    own = docs.where("doc_id < 120")
+    want = mixing.mix_documents(own, corpus_pipeline.MIX).collect()
+    want = [r["doc_id"] for r in sorted(want, key=lambda r: (r["mix_at"], r["mix_rank"]))]
+    got = corpus_pipeline.mix(spark, own, "")
+    assert got.columns == own.columns and [r["doc_id"] for r in got.collect()] == want
