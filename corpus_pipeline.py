@@ -34,8 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each source as often as its weight asks."""
-    return mixing.mix_documents(docs, MIX).select(*docs.columns)
+    """Documents of each source as often as its weight asks, written in the order of the mixed stream."""
+    return mixing.mix_documents(docs, MIX).orderBy("mix_at", "mix_rank").select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
