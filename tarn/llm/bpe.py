@@ -34,9 +34,10 @@ NOT_LATIN = re.compile(r"[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 #: Between these two characters a word always ends: where a very long text may be cut.
 SAFE = re.compile(rf"[^{SPACE}](?= [^{SPACE}])")
 PIECE = 1 << 20
-MEMO_WORDS = 1_000_000
+#: Bytes of remembered words of a Python worker.
+MEMO_BYTES = 80 << 20
 #: Output batches are cut at about this many characters of text.
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,7 +65,7 @@ class ByteBPE:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Memo(self._word, MEMO_WORDS)
+        self.words = Memo(self._word, MEMO_BYTES)
 
     def _word(self, word: str) -> bytes:
         """Contiguous rank array: scan for the smallest rank, delete a boundary, refresh both neighbours."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from sys import getsizeof
 from typing import Any
 
 #: Longer words leave the rank array, whose scans are quadratic, for a heap with the same order of merges.
@@ -43,17 +44,21 @@ def merge_heap(parts: list, rank_of: Callable[[Any, Any], int], merged: Callable
 
 
 class Memo(dict):
-    """Answers by word, computed when missing; emptied when full, long words are never kept."""
+    """Answers by word, computed when missing; emptied at ``limit`` bytes, long words are never kept."""
 
     def __init__(self, compute: Callable[[str], Any], limit: int, start: dict | None = None, longest: int = 64):
         super().__init__(start or {})
         self.compute, self.limit, self.start, self.longest = compute, limit, start or {}, longest
+        self.held = 0
 
     def __missing__(self, word: str) -> Any:
         answer = self.compute(word)
         if len(word) <= self.longest:
-            if len(self) >= self.limit:
+            # word, answer, and their place in the table
+            self.held += getsizeof(word) + getsizeof(answer) + 100
+            if self.held > self.limit:
                 self.clear()
                 self.update(self.start)
+                self.held = 0
             self[word] = answer
         return answer

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from tarn.storage import save, scope
@@ -38,6 +41,18 @@ def kept(owner: str) -> dict:
 
     Workers are reused by later stages, whose memory must not hold the memos of earlier ones.
     """
-    for other in [k for k in _KEPT if k != owner]:
+    others = [k for k in _KEPT if k != owner]
+    for other in others:
         del _KEPT[other]
+    if others:
+        _give_back()
     return _KEPT.setdefault(owner, {})
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library and Arrow can: a worker lives as long as its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -21,7 +21,8 @@ from tarn.llm.merging import NO_RANK, SHORT, Memo, merge_heap
 from tarn.llm.store import kept, ship
 
 BLANK = "▁"
-MEMO_WORDS = 1_000_000
+#: Bytes of remembered words of a Python worker.
+MEMO_BYTES = 160 << 20
 SEPARATORS = "\n\t\r"
 SIGNS = ".,!?;:"
 LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
@@ -44,7 +45,7 @@ class Pieces:
             + rf"{BLANK}*[^{BLANK}{apart}]+|{BLANK}+" + (f"|[{apart}]" if apart else "")
         )
         self.whole = whole if whole is not None else frozenset(p for p in rank if self.merged(p) == 1)
-        self.counts = Memo(self.merged, MEMO_WORDS + len(self.whole), dict.fromkeys(self.whole, 1))
+        self.counts = Memo(self.merged, MEMO_BYTES, dict.fromkeys(self.whole, 1))
 
     def merged(self, word: str) -> int:
         """Tokens of a word after all merges; characters that no piece has count one token a byte."""
