@@ -45,11 +45,11 @@ def kept(owner: str) -> dict:
     for other in others:
         del _KEPT[other]
     if others:
-        _give_back()
+        give_back()
     return _KEPT.setdefault(owner, {})
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where the C library and Arrow can: a worker lives as long as its executor."""
     gc.collect()
     pa.default_memory_pool().release_unused()

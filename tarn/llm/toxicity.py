@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.store import kept, save, scope, ship
+from tarn.llm.store import give_back, kept, save, scope, ship
 from tarn.llm.words import mix
 
 #: Labelled rows of each class that training takes at most, and their characters together; the choice is by a hash of the id.
@@ -52,7 +52,7 @@ STRETCH = 30
 #: Cost of all training stretches of one side.
 STRICT = 100_000
 #: Texts are scored in groups of about so many characters.
-GROUP = 1 << 19
+GROUP = 1 << 18
 #: Decision of a text without a word.
 NOTHING = -5.0
 #: Characters that stand for letters, and those that end a sentence.
@@ -236,8 +236,8 @@ class Model:
 def _kernel(stretches: Sequence[bytes], dense: np.ndarray, lookup: np.ndarray) -> np.ndarray:
     """Kernel of stretches with landmarks: ``dense`` holds the landmarks' weights by subsequence, ``lookup`` its rows."""
     out = np.zeros((len(stretches), dense.shape[1]), np.float32)
-    for a in range(0, len(stretches), 1000):
-        row, code, weight = subsequences(stretches[a : a + 1000])
+    for a in range(0, len(stretches), 100):  # some 10 MB of landmark rows at once
+        row, code, weight = subsequences(stretches[a : a + 100])
         place = lookup[code]
         use = place < len(dense) - 1
         order = np.argsort(row[use], kind="stable")
@@ -249,15 +249,20 @@ def _kernel(stretches: Sequence[bytes], dense: np.ndarray, lookup: np.ndarray) -
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in its primal form, by Newton steps."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(z.shape[1])
-    ridge = np.ones(z.shape[1])
+    """Squared-hinge support vector machine in its primal form, by Newton steps; 1000 rows at once in double precision."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.ones(len(w))
     ridge[-1] = 1e-3
     for _ in range(30):
-        active = y * (z @ w) < 1
-        za, ca = z[active], cost[active]
-        new = np.linalg.solve(np.diag(ridge) + (za * ca[:, None]).T @ za, za.T @ (ca * y[active]))
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for a in range(0, len(x), 1000):
+            part = x[a : a + 1000].astype(np.float64)
+            z = np.hstack([part, np.ones((len(part), 1))])
+            active = y[a : a + 1000] * (z @ w) < 1
+            z, c = z[active], cost[a : a + 1000][active]
+            left += (z * c[:, None]).T @ z
+            right += z.T @ (c * y[a : a + 1000][active])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -272,7 +277,7 @@ def train_stretches(positive: dict[bytes, float], negative: dict[bytes, float],
     np.add.at(dense, (place, row), weight.astype(np.float32))
     values, vectors = np.linalg.eigh((dense.T @ dense).astype(np.float64))
     keep = values > 1e-4 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     lookup = np.full(SYMBOLS**3, len(used), np.int32)
     lookup[used] = np.arange(len(used), dtype=np.int32)
     padded = np.vstack([dense, np.zeros((1, len(marks)), np.float32)])
@@ -320,28 +325,34 @@ def train(texts: Sequence[str], label: Sequence[int], priors: tuple[float, float
     bags, at = [], 0
     for group in _grouped(texts):
         r = read(group)
-        bags.append((r, hashes(r), label[at : at + len(group)]))
+        own = hashes(r)
+        bags.append((r._replace(begin=None, end=None, joined=""), own, label[at : at + len(group)]))
         at += len(group)
-    known = np.unique(np.concatenate([h for _, h, _ in bags]))
+    known = np.concatenate([h for _, h, _ in bags])
+    known.sort()
+    known = known[np.append(True, known[1:] != known[:-1])] if len(known) else known
     bags = [Bag(r, np.searchsorted(known, h).astype(np.int32), 1 + _gaps(r), y) for r, h, y in bags]
-    in_toxic, in_clean = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    in_toxic, in_clean = np.zeros(len(known), np.int32), np.zeros(len(known), np.int32)
     words = np.ones(len(known), np.int8)
     for bag in bags:
         words[bag.number] = np.minimum(bag.words, 100)
         pair = np.unique(bag.reading.text.astype(np.int64) * len(known) + bag.number)
         toxic = bag.label[pair // len(known)] == 1
-        in_toxic += np.bincount(pair[toxic] % len(known), minlength=len(known))
-        in_clean += np.bincount(pair[~toxic] % len(known), minlength=len(known))
+        for counts, side in ((in_toxic, toxic), (in_clean, ~toxic)):
+            counts += np.bincount(pair[side] % len(known), minlength=len(known)).astype(np.int32)
     share = label.mean()
     scale = share / (1 - share)
 
     # Telling stretches: hardly in clean texts, and seen in toxic ones more often than chance makes any of
     # the equally frequent ones (Chernoff bound times their number). Of nested ones the shortest counts.
-    n = in_toxic + in_clean
-    p = np.clip(in_toxic / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-    bound = np.log(np.maximum(np.bincount(n)[n], 1)) - n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
-    rare_in_clean = in_toxic >= 10 * in_clean * scale
-    telling = rare_in_clean & (in_toxic >= 2) & (bound < -1)
+    rare_in_clean = in_toxic >= (10 * scale) * in_clean
+    some = np.flatnonzero(rare_in_clean & (in_toxic >= 2))
+    alike = np.bincount(in_toxic + in_clean)
+    n = in_toxic[some] + in_clean[some]
+    p = np.clip(in_toxic[some] / n, 1e-9, 1 - 1e-9)
+    bound = np.zeros(len(known), np.float32)
+    bound[some] = np.log(alike[n]) - n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
+    telling = bound < -1
     for bag in bags:
         telling[bag.number[_holds(bag, telling)]] = False
     start = np.flatnonzero(telling)
@@ -501,7 +512,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             (r["y"], r["h"], r["text"]) for r in taken.where(within[0] if len(within) == 1 else within[0] | within[1]).toLocalIterator()
         ]
     rows.sort()
-    return train([t for _, _, t in rows], [y for y, _, _ in rows], (float(counts.get(1, 0)), float(counts.get(0, 0))))
+    try:
+        return train([t for _, _, t in rows], [y for y, _, _ in rows], (float(counts.get(1, 0)), float(counts.get(0, 0))))
+    finally:
+        rows.clear()
+        give_back()
 
 
 def _scored(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
