@@ -6,7 +6,8 @@ at most k2 elements, and each of these into second-level parts, all but k2 of wh
 subset of n2 - k2 parts gives one signature, and a similar pair shares at least one for certain.
 
 Where the work runs: signatures are made where a text is read and leave the task packed by bucket
-(about six bytes each); texts stay where they are. A bucket's task finds the sets that share a
+(about five bytes each: 32 bits and the bucket, so that in a bucket of three million some thousand pairs of
+signatures agree by chance, which only adds candidates); texts stay where they are. A bucket's task finds the sets that share a
 signature. Texts are hashed again only for sets that share a signature and that a parity sketch (an
 exact lower bound of the difference) can't tell apart. Sets that are equal are one node from the first
 task on, so a group of copies of any size counts as one. Within a signature's group only the
@@ -207,7 +208,7 @@ def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(sig)]):
             mine, counts = np.unique(own[a:b], return_counts=True)
-            low = np.ascontiguousarray(sig[a:b]).view(np.uint8).reshape(-1, 8)[:, :5]
+            low = sig[a:b].astype(np.uint32)  # what the bucket does not tell apart, two sketches do
             yield int(bucket[a]), low.tobytes(), nodes[mine].tobytes(), counts.astype(np.uint32).tobytes(), sizes[mine].tobytes(), None
 
     def about(held: list[tuple[int, int, int, np.ndarray | None]]) -> tuple:
@@ -285,10 +286,7 @@ def _groups(packed: DataFrame, buckets: int) -> DataFrame:
                 ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
                 docs += [(int(d), int(n), int(s), x, None) for (d, n), s, x in zip(ids, np.frombuffer(row["sizes"], np.uint32), row["sketches"])]
                 continue
-            low = np.frombuffer(row["sigs"], np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(low), 8), np.uint8)
-            wide[:, :5] = low
-            sigs.append(wide.view(np.uint64).ravel())
+            sigs.append(np.frombuffer(row["sigs"], np.uint32))
             counts = np.frombuffer(row["counts"], np.uint32)
             nodes.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
             sizes.append(np.repeat(np.frombuffer(row["sizes"], np.uint32), counts))
