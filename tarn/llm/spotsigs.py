@@ -140,7 +140,9 @@ def similar_pairs(prints: DataFrame, at_least: float = 0.75, ratio: float | None
 
     Sets fall into length partitions that grow by ``1 / at_least``; a set meets its own and the next
     one. Inside, a pair is only formed when it shares one of the rarest spots of the shorter set that
-    it must share at least one of (prefix of the set ordered by how few sets have a spot).
+    it must share at least one of (prefix of the set ordered by how few sets have a spot), and when
+    enough of both sets is left after that spot. The first spot that a pair shares passes this if the
+    pair is alike, so no pair is lost.
     """
     one = prints.where("n_spots > 0").groupBy("fingerprint").agg(F.first("spots").alias("spots"), F.first("n_spots").alias("n"))
     one = save(one, "prints")
@@ -151,11 +153,15 @@ def similar_pairs(prints: DataFrame, at_least: float = 0.75, ratio: float | None
     prefix = kept.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1).where("df > 1")
     width = F.log(F.lit(1.0 / (ratio or at_least)))
     part = F.floor(F.log("n") / width).cast("int")
-    own = prefix.select("spot", part.alias("part"), F.col("fingerprint").alias("a"), F.col("n").alias("na"))
+    after = F.col("n") - F.col("place")
+    own = prefix.select("spot", part.alias("part"), F.col("fingerprint").alias("a"), F.col("n").alias("na"), after.alias("ra"))
     other = prefix.select(
-        "spot", F.explode(F.array(part, part + 1)).alias("part"), F.col("fingerprint").alias("b"), F.col("n").alias("nb")
+        "spot", F.explode(F.array(part, part + 1)).alias("part"), F.col("fingerprint").alias("b"), F.col("n").alias("nb"),
+        after.alias("rb"),
     )
     close = (F.col("a") != F.col("b")) & (F.col("nb") <= F.col("na")) & (F.col("nb") >= F.col("na") * at_least)
+    # this spot and all that follows it, against the overlap that the two lengths ask for
+    close &= (1 + F.least("ra", "rb")) * (1 + at_least) >= (F.col("na") + F.col("nb")) * at_least - 1e-6
     pairs = own.join(other, ["spot", "part"]).where(close).where("nb < na or a < b").select("a", "b").distinct()
     left = one.select(F.col("fingerprint").alias("a"), F.col("spots").alias("sa"))
     right = one.select(F.col("fingerprint").alias("b"), F.col("spots").alias("sb"))

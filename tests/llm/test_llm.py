@@ -431,6 +431,19 @@ def test_spot_pairs_equal_brute_force(spark, docs):
     assert {(r["left_print"], r["right_print"]) for r in spotsigs.similar_pairs(prints).collect()} == want and want
 
 
+def test_spot_pairs_of_a_common_spot(spark):
+    rng = random.Random(3)
+    # a third or more of each set lies in few spots, one of them common to nearly all; runs of neighbouring lengths lie around the limit
+    sets = [sorted({0} | set(rng.sample(range(1, 40), rng.randrange(3, 12)))) for _ in range(150)]
+    sets += [[*range(100, 100 + n)] for n in (6, 7, 8, 9, 10, 12, 13)] + [[0]]
+    sets = [*{tuple(s) for s in sets}]
+    rows = [(f"{k:04d}", len(s), list(s)) for k, s in enumerate(sets)]
+    prints = spark.createDataFrame(rows, "fingerprint string, n_spots bigint, spots array<bigint>")
+    alike = lambda a, b: len({*a} & {*b}) * 4 >= len({*a} | {*b}) * 3
+    want = {(f"{i:04d}", f"{j:04d}") for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and alike(a, b)}
+    assert {(r["left_print"], r["right_print"]) for r in spotsigs.similar_pairs(prints).collect()} == want and want
+
+
 def test_fingerprint_edges(spark, edge, empty):
     out = spotsigs.compare_with_next(edge).collect()
     assert len(out) == edge.count() and all(0 <= r["near_next"] <= 1 for r in out)
