@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, langid, mixing, ngram_join, shardmap, spotsigs, token_count, toxicity
+from tarn.llm import bpe, chat, exact_dedup, langid, merkle, mixing, ngram_join, shardmap, spotsigs, token_count, toxicity
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -147,6 +147,60 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_groups(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, folded again with a text that was tampered with in a third of them."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    text = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    claim = F.when(tampered, merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text))
+    out = merkle.manifest(docs, claim=claim).withColumn("folded", merkle.fold(F.coalesce("claim", "leaf"), F.col("proof")))
+    return out.select(
+        "doc_id", *[merkle.hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.hex_of(merkle.proof_digest(F.col("proof"))).alias("proof_sha256"), merkle.hex_of(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_sql(levels: int = 10, group_levels: int = 6) -> str:
+    """Trees of up to ``8 ** levels`` leaves a group and ``8 ** group_levels`` groups, a level a pair of common tables."""
+    value = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        # CRC-32 (polynomial 0xEDB88320) of the digits of an id
+        "bits AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)",
+        "d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 3 = 0 AS tampered FROM documents, bits)",
+        f"l AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN tampered THEN {leaf(lower)} ELSE {leaf('text')} END AS claim FROM d)",
+        "p0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, claim AS fold, '' AS proof FROM l)",
+        "n0 AS (SELECT lang AS g, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM p0)",
+    ]
+
+    def climb(p: str, n: str, group: str, k: int) -> None:
+        parts.append(f"r{n}{k} AS (SELECT g, i // 8 AS i, n, list(h ORDER BY i) AS run FROM {n}{k} GROUP BY g, i // 8, n)")
+        parts.append(f"{n}{k + 1} AS (SELECT g, i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM r{n}{k})")
+        left, right = f"array_to_string(run[1 : {p}{k}.i % 8], '')", f"array_to_string(run[{p}{k}.i % 8 + 2 :], '')"
+        parts.append(
+            f"{p}{k + 1} AS (SELECT {p}{k}.* EXCLUDE (i, h, fold, proof), {p}{k}.i // 8 AS i, '' AS h, proof || {left} || {right} AS proof, "
+            f"CASE WHEN n > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold "
+            f"FROM {p}{k} JOIN r{n}{k} r ON {group} IS NOT DISTINCT FROM r.g AND {p}{k}.i // 8 = r.i)"
+        )
+
+    for k in range(levels):
+        climb("p", "n", "lang", k)
+    parts += [
+        f"s AS (SELECT g AS lang, h AS subroot FROM n{levels})",
+        "m0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, subroot AS h, count(*) OVER () AS n FROM s)",
+        "a AS (SELECT lang, subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at FROM s)",
+        f"q0 AS (SELECT p.doc_id, p.leaf, a.subroot, 0 AS one, a.at AS i, '' AS h, p.fold, p.proof FROM p{levels} p JOIN a ON p.lang IS NOT DISTINCT FROM a.lang)",
+    ]
+    for k in range(group_levels):
+        climb("q", "m", "one", k)
+    return "WITH " + ",\n".join(parts) + (
+        f"\nSELECT doc_id, leaf, subroot, m.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = m.h AS verified "
+        f"FROM q{group_levels}, m{group_levels} m"
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -158,8 +212,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op6_sharding": op6_sql(), "op7_exact_dedup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_sharding": op6_sql(), "op7_exact_dedup": OP7_SQL, "op13_merkle_manifest": op13_sql()}
