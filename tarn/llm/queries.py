@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, langid, merkle, mixing, ngram_join, shardmap, spotsigs, token_count, toxicity
+from tarn.llm import bpe, chat, exact_dedup, langid, merkle, mixing, ngram_join, periodic, shardmap, spotsigs, token_count, toxicity
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -147,6 +147,30 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_groups(_table(spark, sf_dir, "documents"))
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all documents; in a tenth of them the words from some place on become periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    cut = cut.withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int") + 1)
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.col("words")[F.col("a") + i % F.col("p")])
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole text, and what is left when each keeps one period."""
+    out = periodic.find_runs(repeating(_table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.floor(-1000 * F.col("best.l") / F.col("best.p")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document, folded again with a text that was tampered with in a third of them."""
     docs = _table(spark, sf_dir, "documents")
@@ -212,6 +236,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
