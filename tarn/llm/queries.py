@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, chat, exact_dedup, langid, merkle, mixing, ngram_join, periodic, shardmap, spotsigs, token_count, toxicity
+from tarn.llm import bpe, chat, exact_dedup, langid, merkle, mixing, ngram_join, packing, periodic, shardmap, spotsigs, token_count, toxicity
 
 #: Production parameters of the queries.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 TOKEN_LIMIT = 4096
+PACK = 2048
 MIX = mixing.Mix(max_repeats=2.0)
 
 
@@ -147,6 +148,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), PACK)
+
+
 def repeating(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` of all documents; in a tenth of them the words from some place on become periodic."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -236,6 +242,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
+    "op11_packing": op11_packing,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
