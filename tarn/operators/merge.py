@@ -66,8 +66,8 @@ def merge_touched(
 ) -> tuple[DataFrame, DataFrame]:
     """(new state of the touched partitions, the partition values that are touched).
 
-    Touched is where a key of the batch is now or goes to. The rest of the table is neither read beyond
-    its keys nor written; publish the result with dynamic partition overwrite.
+    Touched is where a key of the batch is now or goes to; both go to ``publish.publish_touched``. The rest of the table
+    is not written. ``touched_values`` and ``in_partitions`` do the same by a list, which also keeps it from being read.
     """
     last = dedup_last(batch, keys, order_by)
     now = existing.join(last.select(*keys), list(keys), "left_semi").select(partition)
@@ -76,6 +76,24 @@ def merge_touched(
     return incremental(old, last, keys, order_by), touched
 
 
+def touched_values(existing: DataFrame | None, batch: DataFrame, keys: Sequence[str], partition: str) -> list[str | None]:
+    """The partitions, as text, where a key of the batch is now or goes to: of ``existing`` only keys and partition are read.
+
+    Without keys the batch's own partitions. One row a partition comes to the driver.
+    """
+    there = batch.select(partition)
+    if existing is not None and keys:
+        there = there.unionByName(existing.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(partition))
+    return [r[0] for r in there.select(F.col(partition).cast("string")).distinct().collect()]
+
+
+def in_partitions(partition: str, values: Sequence[str | None]) -> Column:
+    """Whether a partition column has one of these values (null included), as a filter that prunes folders before they are read."""
+    given = [v for v in values if v is not None]
+    out = F.col(f"`{partition}`").isin(*given) if given else F.lit(False)
+    return out | F.col(f"`{partition}`").isNull() if len(given) < len(values) else out
+
+
 def self_reference_upsert(new: DataFrame, this: DataFrame | None, keys: Sequence[str], newer: str) -> DataFrame:
     """Rows of ``new`` that ``this`` lacks or has in an older version."""
     if this is None:

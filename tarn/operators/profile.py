@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.operators import publish
+
 
 def describe(df: DataFrame) -> DataFrame:
     """``column_name, column_type, n_rows`` of each column."""
@@ -16,11 +18,12 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def list_tables(spark: SparkSession, namespace: str | None = None, layer: str | None = None) -> DataFrame:
+    """``namespace, layer, name`` of the tables; the versions behind published ones are left out."""
     rows = []
     for db in spark.catalog.listDatabases():
         own, _, at = db.name.rpartition("_")
         if (namespace is None or own == namespace) and (layer is None or at == layer):
-            rows += [(own, at, t.name) for t in spark.catalog.listTables(db.name) if not t.isTemporary]
+            rows += [(own, at, t.name) for t in spark.catalog.listTables(db.name) if not t.isTemporary and not publish.ENTRY.match(t.name)]
     return spark.createDataFrame(rows, "namespace string, layer string, name string")
 
 
@@ -98,8 +101,16 @@ def age(df: DataFrame, column: str, now: Column) -> DataFrame:
 
 
 def comment(spark: SparkSession, table: str, text: str | None = None, columns: dict[str, str] | None = None) -> None:
+    """Set comments on a table and its columns. Those of a published table stay when new versions are published."""
     quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
-    if text is not None:
+    kind = spark.catalog.getTable(table).tableType
+    entry = publish.current_entry(spark, table) if kind == "VIEW" else table
+    if text is not None and kind == "VIEW":
+        spark.sql(f"ALTER VIEW {table} SET TBLPROPERTIES ('comment' = '{quote(text)}')")
+    elif text is not None:
         spark.sql(f"COMMENT ON TABLE {table} IS '{quote(text)}'")
     for c, said in (columns or {}).items():
-        spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{c}` COMMENT '{quote(said)}'")
+        spark.sql(f"ALTER TABLE {entry} ALTER COLUMN `{c}` COMMENT '{quote(said)}'")
+    if columns and kind == "VIEW":
+        shown = ", ".join(f"`{c}`" for c in spark.table(table).columns)
+        spark.sql(f"ALTER VIEW {table} AS SELECT {shown} FROM {entry}")

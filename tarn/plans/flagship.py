@@ -21,7 +21,7 @@ def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     silver = merge.incremental(clean, batch, ["o_orderkey"], ["version"])
     checks = [quality.not_null("o_custkey"), quality.unique("o_orderkey"), quality.foreign_key("o_custkey", t.customer, "c_custkey")]
     table = f"silver_orders_{uuid.uuid4().hex[:8]}"
-    storage.at_exit(lambda: spark.sql(f"DROP TABLE IF EXISTS {table}"))
+    storage.at_exit(lambda: publish.drop(spark, table))
     outcome = publish.publish(silver, table, storage.new_folder(spark, "orders"), "1", checks)
     if outcome.status != "published":
         raise RuntimeError(f"the checks blocked publishing: {outcome.checks.collect() if outcome.checks else outcome.status}")

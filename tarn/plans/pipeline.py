@@ -79,7 +79,8 @@ class Context:
         return self.spark.sql(text, args=args, **(frames or {}))
 
 
-def new_state(ctx: Context, batch: DataFrame) -> DataFrame:
+def new_state(ctx: Context, batch: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """What a batch makes of the table, or of those of its partitions that ``existing`` holds."""
     options: dict[str, object] = {
         "incremental": {"keys": ctx.config.keys, "order_by": ctx.config.order_by},
         "delete_insert": {"keys": ctx.config.keys},
@@ -91,13 +92,40 @@ def new_state(ctx: Context, batch: DataFrame) -> DataFrame:
     if options and not (options.get("keys") or options.get("partition")):
         ctx.log.warning("%s lacks its keys or partition: full refresh", ctx.strategy)
         return batch
-    return merge.apply_strategy(ctx.strategy, ctx.this(), batch, **options)
+    return merge.apply_strategy(ctx.strategy, existing, batch, **options)
+
+
+def publish_batch(ctx: Context, batch: DataFrame, root: str, run_id: str, checks: Sequence[Check] = ()) -> publish.Outcome:
+    """Merge a batch by the strategy and publish what it changes.
+
+    Appends add files and read nothing. Where the table is partitioned by the configured column, merges read, check and write only
+    the partitions that the batch touches; a snapshot's are those of the batch. Otherwise the table is written anew, which
+    on the first run also partitions it.
+    """
+    config, this = ctx.config, ctx.this()
+    if ctx.strategy == "append_only":
+        return publish.append(batch, ctx.table, root, run_id, checks, config.partition, config.allow_empty)
+    by = config.partition if config.partition in batch.columns else None
+    keyed = ctx.strategy in ("incremental", "delete_insert", "scd2") and config.keys
+    if this is None or by is None or not (keyed or ctx.strategy == "snapshot") or publish.partition_of(ctx.spark, root, ctx.table) != by:
+        return publish.publish(new_state(ctx, batch, this), ctx.table, root, run_id, checks, config.allow_empty, by)
+    if ctx.strategy == "snapshot":
+        return publish.publish_touched(batch, ctx.table, root, run_id, by, checks)
+    values = merge.touched_values(this, batch, config.keys, by)
+    state = new_state(ctx, batch, this.where(merge.in_partitions(by, values)))
+    return publish.publish_touched(state, ctx.table, root, run_id, by, checks, values)
 
 
 def run(
     ctx: Context, pipeline: Callable[[Context], DataFrame], root: str, run_id: str, checks: Sequence[Check] = ()
 ) -> publish.Outcome:
-    """Build, merge, stage, check and publish; retried as a whole where the strategy is idempotent."""
+    """Build, merge, stage, check and publish; retried as a whole where the strategy is idempotent.
+
+    A run id that was published already gives its outcome again and runs nothing.
+    """
+    done = publish.outcome_of(ctx.spark, root, ctx.table, run_id)
+    if done is not None:
+        return done
     tries = 1 + (ctx.config.max_retries if ctx.strategy != "append_only" else 0)
     for left in reversed(range(tries)):
         try:
@@ -109,7 +137,7 @@ def run(
                 batch = storage.save(batch, "batch")
                 if not ctx.config.allow_empty and batch.isEmpty():
                     return publish.Outcome("empty", 0, "")
-                return publish.publish(new_state(ctx, batch), ctx.table, root, f"{run_id}-{left}", checks, ctx.config.allow_empty)
+                return publish_batch(ctx, batch, root, run_id, checks)
         except (TypeError, ValueError):
             raise
         except Exception:  # noqa: BLE001  user code and jobs may fail in any way

@@ -21,7 +21,7 @@ RUN = datetime(2024, 3, 1, 12, 0)
 def _name(spark: SparkSession, stem: str) -> str:
     """A new table name; the table goes when the process ends."""
     name = f"{stem}_{uuid.uuid4().hex[:8]}"
-    storage.at_exit(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
+    storage.at_exit(lambda: publish.drop(spark, name))
     return name
 
 

@@ -7,12 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT: dict[str, str] = {}
 _LEAVE: list[Callable[[], None]] = []
-_SCOPES: list[list[tuple[SparkSession, str]]] = []
+#: Open scopes, innermost last; each thread has its own.
+_SCOPES: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
 
 
 def use_root(path: str) -> None:
@@ -39,8 +41,9 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new folder name in the shared root. It is removed at the end of the open scope, with ``keep`` when the process ends."""
     path = f"{shared_root(spark)}/tarn-{uuid.uuid4().hex[:12]}-{name}"
-    if _SCOPES and not keep:
-        _SCOPES[-1].append((spark, path))
+    open_scopes = _SCOPES.get()
+    if open_scopes and not keep:
+        open_scopes[-1].append((spark, path))
     else:
         at_exit(lambda: delete(spark, path))
     return path
@@ -56,6 +59,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, as full paths; nothing if there is no such folder."""
+    if not exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().toString() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target))
+
+
 def save(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared root and read it back: cuts the lineage, survives lost executors.
 
@@ -70,11 +81,13 @@ def save(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
 @contextmanager
 def scope() -> Iterator[None]:
     """What ``save`` writes inside is deleted at the end; whoever reads it has to be done by then."""
-    _SCOPES.append([])
+    own: list[tuple[SparkSession, str]] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        for spark, path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for spark, path in own:
             delete(spark, path)
 
 

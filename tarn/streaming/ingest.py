@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarn import storage
+from tarn.operators import publish
+from tarn.operators.merge import in_partitions, without_keys
 
 #: (existing table or None, micro-batch) to the new state.
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
@@ -32,17 +34,49 @@ def zone_stream(
     return reader.load(zone)
 
 
-def merge_stream(stream: DataFrame, root: str, checkpoint: str, merge: Merge) -> StreamingQuery:
+def merge_stream(stream: DataFrame, root: str, checkpoint: str, merge: Merge, keep: int = 3) -> StreamingQuery:
     """Each micro-batch merges into a versioned Parquet table at ``root``; available files, then stop.
 
     Version n is made from version n - 1 by batch n, so a batch that is run again after a failure
-    writes the same version again: exactly once, even for appending merges.
+    writes the same version again: exactly once, even for appending merges. The newest ``keep`` versions stay. Every batch
+    writes the whole table: for small ones, such as rollups; ``merge_keyed_stream`` writes what a batch touches.
     """
     spark = stream.sparkSession
 
     def one(batch: DataFrame, n: int) -> None:
         before = current(spark, root, n)
         merge(before, batch).write.mode("overwrite").parquet(f"{root}/version={n}")
+        for path in storage.children(spark, root):
+            own, eq, number = path.rpartition("/")[2].partition("=")
+            if own == "version" and eq and int(number) <= n - max(keep, 2):
+                storage.delete(spark, path)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_keyed_stream(
+    stream: DataFrame, table: str, root: str, checkpoint: str, keys: Sequence[str], merge: Merge, buckets: int = 64, keep: int = 3, bucket: str = "merge_bucket"
+) -> StreamingQuery:
+    """Each micro-batch merges into a published table that is partitioned by a hash of ``keys``; available files, then stop.
+
+    Only the buckets of a batch's keys are read, merged (``merge`` gets their rows and the batch's) and written as a new version of
+    the table, so the work follows the batch. A batch publishes under its stream's id and its number: run again after a failure, it
+    finds that it is in the table, or is not yet. The newest ``keep`` versions stay. Null keys are keys.
+    """
+    spark = stream.sparkSession
+    own = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def one(batch: DataFrame, n: int) -> None:
+        run_id = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'stream'}-{n}"
+        if publish.outcome_of(spark, root, table, run_id):
+            return
+        with storage.scope():
+            batch = storage.save(batch.withColumn(bucket, own), "batch")
+            values = [str(r[0]) for r in batch.select(bucket).distinct().collect()]  # at most ``buckets``
+            old = spark.table(table).where(in_partitions(bucket, values)).drop(bucket) if spark.catalog.tableExists(table) else None
+            new = merge(old, batch.drop(bucket)).withColumn(bucket, own)
+            publish.publish_touched(new, table, root, run_id, bucket, values=values)
+        publish.keep_versions(spark, root, table, keep)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,7 +85,8 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
     """Changed rows (update mode) replace those of their keys in a table partitioned by ``partition``.
 
     Only partitions that a micro-batch touches are read and rewritten, so the work follows the batch.
-    ``keys`` determine the partition. A batch that is run again after a failure writes the same rows again.
+    ``keys`` determine the partition. A batch that is run again after a failure writes the same rows again. Null keys and partitions are
+    values like others.
     """
     spark = stream.sparkSession
 
@@ -60,10 +95,10 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
             batch = storage.save(batch, "changed")
             new = batch
             if storage.exists(spark, path):
-                touched = batch.select(partition).distinct()
-                old = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
-                new = storage.save(old.join(batch, list(keys), "left_anti").select(*batch.columns).unionByName(batch), "touched")
-            out = new.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                values = [r[0] for r in batch.select(F.col(partition).cast("string")).distinct().collect()]  # one row a touched partition
+                old = spark.read.schema(batch.schema).parquet(path).where(in_partitions(partition, values)).select(*batch.columns)
+                new = storage.save(without_keys(old, batch, keys, null_safe=True).unionByName(batch), "touched")
+            out = new.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             out.partitionBy(partition).parquet(path)
 
     return stream.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -264,7 +264,7 @@ def test_touched_partitions_and_roll_back(spark, tmp_path):
     assert rows(spark.table(table)) == [(1, "a", 1), (2, "b", 2), (3, "C", None), (4, "d", 7)]
     # versions that still hold partitions of the table stay
     assert publish.expire(spark, root, table, datetime(2100, 1, 1)) == []
-    spark.sql(f"DROP TABLE {table}")
+    publish.drop(spark, table)
     table = "evolved_versions"
     publish.publish(frame(spark, [(1, "a")]), table, root, "1")
     publish.publish(spark.createDataFrame([("x", 2.5)], "name string, id double"), table, root, "2")
@@ -273,7 +273,7 @@ def test_touched_partitions_and_roll_back(spark, tmp_path):
     assert rows(spark.table(table)) == [(1, "a")]
     with pytest.raises(ValueError, match="no version"):
         publish.rollback(spark, root, table, "9")
-    spark.sql(f"DROP TABLE {table}")
+    publish.drop(spark, table)
 
 
 def test_merges_by_key_need_an_order(spark, tmp_path):
