@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.bpe import CONTRACTIONS, LATIN, NOT_LATIN, SPACE, byte_alphabet, pieces
-from tarn.llm.merging import Memo
 from tarn.llm.ranks import ranked
 from tarn.llm.store import kept, save, scope, ship
 
@@ -33,14 +32,33 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TOKENS = re.compile(f"[^{SPACE}]+")
 #: Characters that Python takes for white space and the vocabulary does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Bytes of remembered tokens and words of a Python worker.
-MEMO_BYTES = 60 << 20
+#: Bytes of remembered tokens, and of remembered words, of a Python worker.
+MEMO_BYTES = 96 << 20
 #: If more than this share would be padding, what is left over is cut into halves, quarters and so on, down to the next grain.
 MOST_PADDING, GRAINS = 0.01, (None, 512, 64)
 #: Output batches are cut at about this many characters of text.
 FLUSH = 1 << 20
 
 
+class Memo(dict):
+    """Answers by word, emptied at about MEMO_BYTES; long words are never kept. Sizes are estimated, as most words come once."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.held = compute, 0
+
+    def __missing__(self, word: str) -> bytes:
+        answer = self.compute(word)
+        if len(word) <= 64:
+            # 200: both objects and their place in the table
+            self.held += (len(word) if word.isascii() else 4 * len(word)) + len(answer) + 200
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = answer
+        return answer
+
+
 class WordCoder:
     """Ids of texts by a vocabulary with word ends, whose words never reach over white space.
 
@@ -58,19 +76,25 @@ class WordCoder:
             raise ValueError("not a vocabulary of lower-case words with word ends")
         self.library = Tokenizer.from_str(raw.decode())
         self.special = [t["content"] for t in spec["added_tokens"]]
+        if any("<" not in t for t in self.special):
+            raise ValueError("special strings without a < are not looked for")
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.words = Memo(self._word, MEMO_BYTES)
-        self.tokens = Memo(self._token, MEMO_BYTES)
+        self.words = Memo(self._word)
+        self.tokens = Memo(self._token)
 
     def _word(self, word: str) -> bytes:
-        mapped = "".join(map(self.letters.__getitem__, word.encode()))
+        # printable ASCII stands for itself in byte-level vocabularies
+        plain = word.isascii() and word.isprintable()
+        mapped = word if plain else "".join(map(self.letters.__getitem__, word.encode()))
         return array("I", [t.id for t in self.library.model.tokenize(mapped)]).tobytes()
 
     def _token(self, token: str) -> bytes:
         low = token.lower()
-        if NOT_LATIN.search(token) or NOT_LATIN.search(low) or any(s in token for s in self.special):
+        foreign = not token.isascii() and (NOT_LATIN.search(token) or NOT_LATIN.search(low))
+        if foreign or ("<" in token and any(s in token for s in self.special)):
             return array("I", self.library.encode(token, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, WORD.findall(low)))
+        words = WORD.findall(low)
+        return self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
