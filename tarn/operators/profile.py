@@ -63,6 +63,41 @@ def plan_profile(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "phase string, seconds double, detail string")
 
 
+def plan_metrics(df: DataFrame) -> DataFrame:
+    """``node, parent, name, metric, value`` of the plan that Spark ended up with, after it has run.
+
+    The query runs once; then the nodes of its final adaptive plan are walked, each with the figures that it gathered (rows, bytes, spill,
+    files, times). Node 0 gives the result. Code generation is a node that holds others; an exchange that is used
+    again has its figures where it was made.
+    """
+    spark = df.sparkSession
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    rows: list[tuple[int, int | None, str, str, int]] = []
+    seen = iter(range(1 << 30))
+
+    def walk(plan, parent: int | None) -> None:
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan(), parent)
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan(), parent)
+        node, name = next(seen), plan.nodeName().strip()
+        figures = plan.metrics().iterator()
+        found = False
+        while figures.hasNext() and kind != "ReusedExchangeExec":
+            metric = figures.next()._2()
+            found = True
+            rows.append((node, parent, name, metric.name().get() if metric.name().isDefined() else "", metric.value()))
+        if not found:
+            rows.append((node, parent, name, "", 0))
+        for k in range(plan.children().size()):
+            walk(plan.children().apply(k), node)
+
+    walk(run.executedPlan(), None)
+    return spark.createDataFrame(rows, "node int, parent int, name string, metric string, value bigint")
+
+
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """min, max, mean, median, standard deviation and distinct values of numeric columns, in one pass each row."""
     parts = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from tarn import storage
 from tarn.operators import publish
 from tarn.operators.merge import in_partitions, without_keys
 
+LOG = logging.getLogger("tarn.streaming")
 #: (existing table or None, micro-batch) to the new state.
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -115,6 +118,49 @@ def current(spark: SparkSession, root: str, below: int | None = None) -> DataFra
     return spark.read.parquet(f"{root}/version={max(done)}") if done else None
 
 
+def committed_files(spark: SparkSession, checkpoint: str, source: int = 0) -> DataFrame:
+    """``path, batch`` of the files that a stream has read in batches that it committed, from its own checkpoint."""
+    done = [int(n) for p in storage.children(spark, f"{checkpoint}/commits") if (n := p.rpartition("/")[2]).isdigit()]
+    logs = [p for p in storage.children(spark, f"{checkpoint}/sources/{source}") if p.rpartition("/")[2].split(".")[0].isdigit()]
+    schema = "path string, timestamp bigint, batchId bigint"
+    if not done or not logs:
+        return spark.createDataFrame([], "path string, batch bigint")
+    # the offsets of the last committed batch say how far its source log counts
+    offsets = spark.read.text(f"{checkpoint}/offsets/{max(done)}", wholetext=True).first()[0].splitlines()[2 + source]
+    upto = json.loads(offsets)["logOffset"]
+    lines = spark.read.text(logs).where(F.col("value").startswith("{")).select(F.from_json("value", schema).alias("f"))
+    return lines.where(F.col("f.batchId") <= upto).select(F.col("f.path").alias("path"), F.col("f.batchId").alias("batch")).distinct()
+
+
+def archive_run(spark: SparkSession, zone: str, checkpoint: str, run_id: str, source: int = 0) -> tuple[int, int]:
+    """Move the files that a stream has consumed to ``<zone>/_processed/<run_id>/``; returns how many moved and how many could not.
+
+    To be called when a run has ended. What prevents a second read is the checkpoint, so a file that can't be moved is only warned of, and
+    is tried again after the next run. Files that are gone were moved before.
+    """
+    moved = failed = 0
+    files = spark._jvm.org.apache.hadoop.fs
+    home = files.Path(zone)
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = system.makeQualified(home).toUri().getPath().rstrip("/")
+    for (path,) in committed_files(spark, checkpoint, source).select("path").toLocalIterator():
+        old = files.Path(spark._jvm.java.net.URI(path))
+        if not system.exists(old):
+            continue
+        inner = old.toUri().getPath().removeprefix(f"{top}/")
+        new = files.Path(f"{zone}/_processed/{run_id}/{inner}")
+        try:
+            system.mkdirs(new.getParent())
+            done = system.rename(old, new)
+        except Exception as e:  # noqa: BLE001  any file system's refusal
+            LOG.warning("not archived: %s", e)
+            done = False
+        moved, failed = moved + done, failed + (not done)
+        if not done:
+            LOG.warning("could not move %s to %s", path, new)
+    return moved, failed
+
+
 def dedup_stream(stream: DataFrame, keys: Sequence[str], ts: str, late: str) -> DataFrame:
     """First row of each key; state is kept for ``late`` behind the newest event time."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
