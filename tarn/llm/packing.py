@@ -12,7 +12,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +32,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TOKENS = re.compile(f"[^{SPACE}]+")
 #: Characters that Python takes for white space and the vocabulary does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Bytes of remembered tokens, and of remembered words, of a Python worker.
-MEMO_BYTES = 96 << 20
+#: Bytes of remembered words, and of tokens that are not of Latin characters, of a Python worker.
+WORD_BYTES, TOKEN_BYTES = 160 << 20, 32 << 20
 #: If more than this share would be padding, what is left over is cut into halves, quarters and so on, down to the next grain.
 MOST_PADDING, GRAINS = 0.01, (None, 512, 64)
 #: Output batches are cut at about this many characters of text.
@@ -41,18 +41,18 @@ FLUSH = 1 << 20
 
 
 class Memo(dict):
-    """Answers by word, emptied at about MEMO_BYTES; long words are never kept. Sizes are estimated, as most words come once."""
+    """Answers by word, emptied at about ``limit`` bytes; long words are never kept. Sizes are estimated, as most words come once."""
 
-    def __init__(self, compute):
+    def __init__(self, compute: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.compute, self.held = compute, 0
+        self.compute, self.limit, self.held = compute, limit, 0
 
     def __missing__(self, word: str) -> bytes:
         answer = self.compute(word)
         if len(word) <= 64:
             # 200: both objects and their place in the table
             self.held += (len(word) if word.isascii() else 4 * len(word)) + len(answer) + 200
-            if self.held > MEMO_BYTES:
+            if self.held > self.limit:
                 self.clear()
                 self.held = 0
             self[word] = answer
@@ -62,8 +62,8 @@ class Memo(dict):
 class WordCoder:
     """Ids of texts by a vocabulary with word ends, whose words never reach over white space.
 
-    Tokens between white space are looked up in a memo, then their words; new words are merged by the library's model. Tokens
-    with other than Latin characters or with special strings are encoded by the library as a whole.
+    The words of texts of Latin characters are looked up in a memo, and new ones merged by the library's model. Texts with other
+    characters or special strings are split at white space, and the tokens that have any of these encoded by the library as a whole.
     """
 
     def __init__(self, raw: bytes):
@@ -79,8 +79,8 @@ class WordCoder:
         if any("<" not in t for t in self.special):
             raise ValueError("special strings without a < are not looked for")
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.words = Memo(self._word)
-        self.tokens = Memo(self._token)
+        self.words = Memo(self._word, WORD_BYTES)
+        self.tokens = Memo(self._token, TOKEN_BYTES)
 
     def _word(self, word: str) -> bytes:
         # printable ASCII stands for itself in byte-level vocabularies
@@ -100,6 +100,11 @@ class WordCoder:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
         for piece in pieces(text):
+            low = piece.lower()
+            latin = piece.isascii() or not (NOT_LATIN.search(piece) or NOT_LATIN.search(low))
+            if latin and not ("<" in piece and any(s in piece for s in self.special)):
+                out.append(b"".join(map(self.words.__getitem__, WORD.findall(low))))
+                continue
             tokens = TOKENS.findall(piece) if SEPARATORS.search(piece) else piece.split()
             out.append(b"".join(map(self.tokens.__getitem__, tokens)))
         return b"".join(out)
