@@ -3,8 +3,9 @@
 The index is a Parquet table with one row per distinct text, bucketed and sorted by the text's
 SHA-256. A new batch is hashed where it is read; only ``(id, row, digest)`` leaves the scan. The
 batch's digests are aggregated (map-side first, so a text with billions of copies travels as one row
-a task), a sort-merge anti-join drops those that the index has, and the rest is appended. The index
-side is read bucket by bucket and never shuffled.
+a task) and written, one row a text; a sort-merge anti-join of these rows drops those that the index has, and the
+rest is appended. Without the writing between, Spark would move the anti-join below the aggregate, and all copies of a
+text would meet in one task. The index side is read bucket by bucket and never shuffled.
 
 A batch has a name. Rows that the index got from a batch of the same name do not count as known, and
 what it has of them already is not added twice, so a batch that is run again after a failure at any
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn import storage
-from tarn.llm.store import save
+from tarn.llm.store import save, scope
 
 #: A digest with at least this share of the batch is answered by broadcast; at most 1/share of them exist.
 HOT_SHARE = 0.001
@@ -75,7 +76,9 @@ def _buckets_of(spark: SparkSession, index: str) -> int:
 
 
 def rebucket(spark: SparkSession, index: str, name: str, buckets: int) -> str:
-    """A copy of the index with other buckets, for an index that outgrew the number it began with."""
+    """A copy of the index with other buckets, for an index that outgrew the number it began with. ``name`` must be new."""
+    if spark.catalog.tableExists(name):
+        raise ValueError(f"{name} exists already")
     _write(spark.table(index), name, buckets)
     return name
 
@@ -95,11 +98,17 @@ def _first() -> Column:
 def add(rows: DataFrame, index: str, batch_id: str, buckets: int) -> None:
     """Append the digests of ``rows(doc_id, digest, row)`` that the index lacks; safe to repeat."""
     spark = rows.sparkSession
-    fresh = rows.groupBy("digest").agg(_first()).select("digest", F.col("first.doc_id").alias("keep_id"), F.lit(batch_id).alias("batch"))
-    if spark.catalog.tableExists(index):
-        buckets = _buckets_of(spark, index)
-        fresh = fresh.join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
-    _write(fresh, index, buckets)
+    with scope():
+        texts = save(rows.groupBy("digest").agg(_first()).select("digest", F.col("first.doc_id").alias("keep_id"), F.lit(batch_id).alias("batch")), "texts")
+        if spark.catalog.tableExists(index):
+            _write(_unknown(texts, index), index, _buckets_of(spark, index))
+        else:
+            _write(texts, index, buckets)
+
+
+def _unknown(texts: DataFrame, index: str) -> DataFrame:
+    """Those of a batch's texts, one row each, that the index lacks."""
+    return texts.join(texts.sparkSession.table(index).select("digest").hint("merge"), "digest", "left_anti")
 
 
 def _answers(rows: DataFrame, index: str, batches: Sequence[str]) -> DataFrame:

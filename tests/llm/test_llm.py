@@ -632,6 +632,28 @@ def test_hot_text_is_one_group(spark):
     assert out.where("group_size = 1000").count() == 1000 and out.where("kept").count() == 2001
 
 
+def test_copies_are_one_row_before_they_meet_the_index(spark, monkeypatch):
+    """Half of the second batch is one text: it reaches the anti-join as one row, and nothing aggregates above that join."""
+    index = exact_dedup.new_index(spark)
+    first = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 40).cast("string")).alias("text"))
+    exact_dedup.dedup(first, index, "one", buckets=4).count()
+    seen, own = [], exact_dedup._unknown
+
+    def spy(texts, name):
+        out = own(texts, name)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((texts.count(), texts.select("digest").distinct().count(), "LeftAnti" in plan, "Aggregate" in plan))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "_unknown", spy)
+    hot = spark.range(4000).select((F.col("id") + 1000).alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("u"), (F.col("id") % 700).cast("string"))).alias("text"))
+    out = exact_dedup.dedup(hot, index, "two")
+    assert out.where("kept").count() == 351 and out.agg(F.max("group_size")).first()[0] == 2000
+    assert seen == [(351, 351, True, False)]
+    with pytest.raises(ValueError, match="exists already"):
+        exact_dedup.rebucket(spark, index, index, 4)
+
+
 # 8 languages
 
 
