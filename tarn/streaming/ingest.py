@@ -177,30 +177,56 @@ def window_rollup(events: DataFrame, ts: str, width: str, by: Sequence[str] = ()
     )
 
 
-def cooldown_stream(stream: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+def cooldown_stream(stream: DataFrame, key: str, ts: str, seconds: int, late: str | None = None) -> DataFrame:
     """Events that fire: the first of a key, then those ``seconds`` or more after the last that fired.
 
-    The state is one time a key. Rows of a key are taken in time order within a micro-batch; across
-    batches they must arrive in order.
+    Without ``late`` the state is one time a key, and rows must arrive in order across micro-batches. With it (such as ``1 hour``) rows
+    may be that late: a key's rows are held until the watermark has passed them, then taken in time order, so that the answer is that of the batch
+    whatever the order of arrival; rows of the last ``late`` stay held, and later ones are dropped. Rows without a time never fire.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     schema = stream.schema
 
-    def walk(name, frames, state: GroupState):
-        import pandas as pd
-
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        last = state.get[0] if state.exists else None
+    def taken(rows, last):
+        """(rows in time order, which of them fire, the last that fired)."""
         fires = []
+        rows = rows.sort_values(ts, kind="stable")
         for t in rows[ts].astype("int64"):
             ok = last is None or t - last >= seconds * 1_000_000_000
             last = int(t) if ok else last
             fires.append(ok)
+        return rows, fires, last
+
+    def walk(name, frames, state: GroupState):
+        import pandas as pd
+
+        rows, fires, last = taken(pd.concat(list(frames)), state.get[0] if state.exists else None)
         state.update((last,))
         yield rows[fires]
 
-    return stream.groupBy(key).applyInPandasWithState(walk, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    def hold(name, frames, state: GroupState):
+        import pickle
+
+        import pandas as pd
+
+        last, held = state.get if state.exists else (None, None)
+        old = [] if held is None else [pickle.loads(held)]  # our own state, written below
+        new = [] if state.hasTimedOut else list(frames)
+        rows = pd.concat([*old, *new])
+        past = rows[ts].astype("int64") < state.getCurrentWatermarkMs() * 1_000_000
+        ready, fires, last = taken(rows[past], last)
+        rest = rows[~past]
+        state.update((last, pickle.dumps(rest) if len(rest) else None))
+        if len(rest):
+            # a time that the watermark has to pass, in milliseconds
+            state.setTimeoutTimestamp(int(rest[ts].astype("int64").min() // 1_000_000) + 1)
+        yield ready[fires]
+
+    if late is None:
+        return stream.groupBy(key).applyInPandasWithState(walk, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late)
+    return timed.groupBy(key).applyInPandasWithState(hold, schema, "last bigint, held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
