@@ -8,7 +8,9 @@ product of these weights. Landmark stretches span the feature space (Nyström),
 trained in it, and as its decision is linear in the subsequences, it is folded into one table for scoring.
 
 Labels mark whole texts, so training is by multiple instances: a sentence speaks through its worst stretch, a
-text through its worst sentence, and they are chosen anew in every round.
+text through its worst sentence, and they are chosen anew in every round. Each learned insult is also learned in misspelt forms, with
+letters doubled, left out or inserted and with gaps, unless clean texts have words like it: then what differs from it in such ways is
+learned as clean, so that tolerance ends where ordinary words begin.
 
 For scoring, the table's answers at every character of many texts are summed up once; a stretch is then a
 difference of two sums, so the work is linear in the text and nothing is remembered from text to text.
@@ -33,14 +35,20 @@ from tarn.llm.words import mix
 
 #: Labelled rows of each class that training takes at most, and their characters together; the choice is by a hash of the id.
 SAMPLE, SAMPLE_CHARS = 1500, 4_000_000
-LANDMARKS = 400
+LANDMARKS = 800
 ROUNDS = 6
 #: Clean stretches that a round adds at most: those that look most toxic so far.
 HARD = 1500
 #: Clean words that training starts from: the most frequent ones, and others by a hash.
 USUAL, OTHERS = 2000, 3000
-#: Toxic stretches, most telling first, that training starts from; so many of them are also learned in misspelt forms.
-TELLING, SPELLED = 1500, 60
+#: Toxic stretches, most telling first, that training starts from; so many of them, most frequent first, are also learned in misspelt forms.
+TELLING, SPELLED = 1500, 200
+#: Foreign letters that are tried at each place of a misspelt form.
+FOREIGN = 2
+#: Kernel from which a clean stretch counts against its most similar toxic one, weight of its texts in training, and that of made-up clean forms.
+NEAR, AGAINST, MADE_UP = 0.5, 20, 1
+#: Decision from which a stretch of a toxic text that has no known one is learned; the logistic curve takes decisions up to CERTAIN.
+LOOKS_TOXIC, CERTAIN = 0.5, 1.0
 #: Weight of a subsequence for each character that it skips, and its largest width.
 DECAY = 0.55
 WIDTHS = (2, 3, 4)
@@ -286,12 +294,31 @@ def train_stretches(positive: dict[bytes, float], negative: dict[bytes, float],
     for side in (1, -1):
         if (y == side).any():
             cost[y == side] *= STRICT / cost[y == side].sum()
-    w, bias = _machine(_kernel([*positive, *negative], padded, lookup) @ whiten, y, cost)
+    every = [*positive, *negative]
+    x = np.empty((len(every), whiten.shape[1]), np.float32)
+    for a in range(0, len(every), 2000):
+        x[a : a + 2000] = _kernel(every[a : a + 2000], padded, lookup) @ whiten
+    w, bias = _machine(x, y, cost)
     table = np.zeros(SYMBOLS**3, np.float32)
     table[used] = dense @ (whiten @ w).astype(np.float32)
     return table, bias
 
 
+def nearest(stretches: Sequence[bytes], marks: Sequence[bytes]) -> list[tuple[int, float]]:
+    """The number of the most similar of ``marks`` to each stretch, and its kernel."""
+    if not len(stretches) or not len(marks):
+        return [(0, 0.0)] * len(stretches)
+    row, code, weight = subsequences(marks)
+    used, place = np.unique(code, return_inverse=True)
+    dense = np.zeros((len(used) + 1, len(marks)), np.float32)
+    np.add.at(dense, (place, row), weight.astype(np.float32))
+    lookup = np.full(SYMBOLS**3, len(used), np.int32)
+    lookup[used] = np.arange(len(used), dtype=np.int32)
+    kernel = _kernel(stretches, dense, lookup)
+    best = kernel.argmax(axis=1)
+    return list(zip(best.tolist(), kernel[np.arange(len(best)), best].tolist()))
+
+
 def _grouped(texts: Sequence[str]) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
@@ -376,9 +403,8 @@ def train(texts: Sequence[str], label: Sequence[int], priors: tuple[float, float
                 for i, k in zip(*np.unique(bag.number[hit], return_index=True)):
                     spelt.setdefault(int(i), bag.reading.symbols(hit[k]))
 
-    clean_words = set()
+    strict: set[int] = set()  # positives that clean texts have the like of
     spell(set(positive) | set(negative))
-    clean_words = {spelt[i] for i in negative}
     model = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 1.0, 0.0)
     for _ in range(ROUNDS):
         half = LANDMARKS // 2
@@ -386,9 +412,15 @@ def train(texts: Sequence[str], label: Sequence[int], priors: tuple[float, float
         marks += [i for i, _ in negative.most_common(half // 2)]
         marks += sorted(set(negative) - set(marks), key=known.__getitem__)[: half - half // 2]
         toxic = {spelt[i]: c for i, c in positive.items()}
+        clean = {spelt[i]: c for i, c in negative.items()}
         for i, c in positive.most_common(SPELLED):
-            toxic |= {w: max(1, c // 10) for w in spellings(spelt[i]) if w not in toxic and w not in clean_words}
-        table, bias = train_stretches(toxic, {spelt[i]: c for i, c in negative.items()}, [spelt[i] for i in marks])
+            w = spelt[i]
+            if i in strict:
+                ends = {w[:k] + b"\0" for k in range(max(4, len(w) - 4), len(w) - 1)}
+                clean |= {v: MADE_UP for v in spellings(w) | ends if v not in toxic and v not in clean}
+            else:
+                toxic |= {v: max(1, c // 10) for v in spellings(w) if v not in toxic and v not in clean}
+        table, bias = train_stretches(toxic, clean, [spelt[i] for i in marks])
         model = Model(table, bias, 1.0, 0.0)
         chosen = np.zeros(len(known), bool)
         chosen[list(positive)] = True
@@ -399,7 +431,7 @@ def train(texts: Sequence[str], label: Sequence[int], priors: tuple[float, float
             top, place = model.worst(bag.reading, len(bag.label), each)
             speaks = np.zeros(len(bag.label), bool)
             speaks[bag.reading.text[chosen[bag.number]]] = True
-            for k in place[(bag.label == 1) & ~speaks & (top > 0) & (place >= 0)]:
+            for k in place[(bag.label == 1) & ~speaks & (top > LOOKS_TOXIC) & (place >= 0)]:
                 i = int(bag.number[k])
                 if not in_clean[i]:
                     joined.add(i)
@@ -411,15 +443,23 @@ def train(texts: Sequence[str], label: Sequence[int], priors: tuple[float, float
         positive.update({i: int(in_toxic[i]) for i in joined if i not in positive})
         hard = sorted(found, key=lambda i: (-found[i], known[i]))[:HARD]
         spell(set(hard))
-        for i in hard:
+        near = nearest([spelt[i] for i in hard], [spelt[i] for i in positive])
+        against = np.zeros(len(positive))
+        for i, (k, value) in zip(hard, near):
+            against[k] += in_clean[i] * (value >= NEAR)
+        for i, n in zip(list(positive), against):
+            if in_toxic[i] < 10 * scale * (in_clean[i] + n) and i not in strict:
+                strict.add(i)
+                changed = True
+        for i, (_, value) in zip(hard, near):
             changed = changed or i not in negative
             positive.pop(i, None)
-            negative[i] += 3
+            negative[i] += 3 + AGAINST * int(in_clean[i]) * (value >= NEAR)
         if not changed:
             break
     top = np.concatenate([model.worst(bag.reading, len(bag.label))[0] for bag in bags])
     weigh = np.where(label == 1, 1.0, 1.0 if priors is None else priors[1] / max(priors[0], 1e-9) * scale)
-    model.slope, model.shift = _logistic(np.clip(top, -5, 5), label.astype(float), weigh)
+    model.slope, model.shift = _logistic(np.clip(top, -5, CERTAIN), label.astype(float), weigh)
     return model
 
 
@@ -443,13 +483,25 @@ def _holds(bag: Bag, telling: np.ndarray) -> np.ndarray:
     return out
 
 
+def inserted(stretch: bytes, at: int, salt: int) -> bytes:
+    """A stretch with a letter that it does not have put in at a place, chosen by a hash."""
+    own = set(stretch)
+    free = [c for c in range(1, 27) if c not in own] or list(range(1, 27))
+    pick = int(mix(np.array([hash_of(stretch) + at + 64 * salt], np.uint64))[0] % np.uint64(len(free)))
+    return stretch[:at] + bytes([free[pick]]) + stretch[at:]
+
+
 def spellings(stretch: bytes) -> set[bytes]:
-    """A stretch with a doubled or a foreign letter inserted, or a letter left out."""
+    """A stretch with a letter doubled or left out, a gap, or one or two foreign letters inserted, at every place inside."""
     out = set()
     for k in range(2, len(stretch) - 1):
-        other = 1 + int(mix(np.array([hash_of(stretch) + k], np.uint64))[0] % np.uint64(26))
-        for middle in (stretch[k - 1], other):
-            out.add(stretch[:k] + bytes([middle]) + stretch[k:])
+        out.add(stretch[:k] + stretch[k - 1 :])
+        out.add(stretch[:k] + b"\0" + stretch[k:])
+        for salt in range(FOREIGN):
+            one = inserted(stretch, k, salt)
+            out.add(one)
+            for j in range(k + 1, len(one) - 1, 2):
+                out.add(inserted(one, j, salt + FOREIGN))
         if len(stretch) > 6 and k < len(stretch) - 2:
             out.add(stretch[:k] + stretch[k + 1 :])
     return out

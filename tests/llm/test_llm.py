@@ -203,6 +203,28 @@ def test_toxicity_finds_learned_and_misspelt_insults():
     assert max(toxic_score(model, w) for w in clean[:200]) < 0.5 and toxic_score(model, " ".join(clean)) < 0.5
 
 
+def test_foreign_letters_at_every_place():
+    """Insults with one or two foreign letters, a letter left out or a blank inside, in a clean sentence, and clean words treated alike."""
+    rng = random.Random(9)
+    syllables = ["ba", "co", "di", "fu", "ge", "ha", "mi", "ne", "so", "tu", "ra", "le", "ze", "ko", "wu", "vi", "pa", "xi", "qu", "jo", "ys"]
+    clean = ["".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(1500)]
+    insults = ["zorkel", "vimplox", "wuktrash", "qyzzer", "jolkwit"]
+    said = lambda *more: " ".join([*rng.sample(clean, 25), *more, *rng.sample(clean, 5)])
+    texts = [(said(), 0) for _ in range(300)] + [(said(w), 1) for w in insults for _ in range(25)]
+    model = toxicity.train(*zip(*texts), (125, 300))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def forms(w):
+        places = range(1, len(w))
+        one = [w[:k] + rng.choice([c for c in letters if c not in w]) + w[k:] for k in places for _ in range(4)]
+        two = [v[:j] + rng.choice([c for c in letters if c not in v]) + v[j:] for v in one for j in (rng.randrange(1, len(v)),)]
+        return {"one": one, "two": two, "less": [w[:k] + w[k + 1 :] for k in places if k < len(w) - 1], "blank": [f"{w[:k]} {w[k:]}" for k in places]}
+
+    share = lambda kind, words: np.mean([toxic_score(model, f"{said()} {v} {said()}") > 0.5 for w in words for v in forms(w)[kind]])
+    assert share("one", insults) >= 0.9 and share("two", insults) >= 0.8 and share("less", insults) >= 0.8 and share("blank", insults) >= 0.8
+    assert max(share(kind, clean[:60]) for kind in ("one", "two", "less")) <= 0.02
+
+
 def test_a_phrase_of_ordinary_words_is_learned():
     """Each word is in clean texts as well, only their sequence inside a sentence is not."""
     rng = random.Random(2)
