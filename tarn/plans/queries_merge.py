@@ -251,3 +251,23 @@ def strategy_idempotence(spark, d):
     }
     row = {name: merge.is_idempotent(f, existing, last) for name, f in checks.items()}
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()])
+
+
+@query(f"""WITH {ORDERS_SQL}, b AS (SELECT * FROM batch WHERE seq = 2), merged AS (SELECT (SELECT count(*) FROM existing WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)) + (SELECT count(*) FROM b) AS n)
+SELECT 'incremental' AS strategy, n AS once, n AS twice FROM merged UNION ALL SELECT 'delete_insert', n, n FROM merged
+UNION ALL SELECT 'snapshot', n, n FROM (SELECT (SELECT count(*) FROM existing WHERE o_orderstatus NOT IN (SELECT o_orderstatus FROM b)) + (SELECT count(*) FROM b) AS n)
+UNION ALL SELECT 'append_only', n + m, n + 2 * m FROM (SELECT (SELECT count(*) FROM existing) AS n, (SELECT count(*) FROM b) AS m)""")
+def strategy_rows_when_repeated(spark, d):
+    """Rows of the table after a run and after the same run again, for each strategy."""
+    existing, batch = _orders(spark, d)
+    last = batch.where("seq = 2")
+    out = None
+    for name, f in {
+        "incremental": lambda e: merge.incremental(e, last, ["o_orderkey"], ["seq"]), "delete_insert": lambda e: merge.delete_insert(e, last, ["o_orderkey"]),
+        "snapshot": lambda e: merge.snapshot(e, last, "o_orderstatus"), "append_only": lambda e: merge.append_only(e, last),
+    }.items():
+        once = f(existing)
+        counts = once.agg(F.count(F.lit(1)).alias("once")).crossJoin(F.broadcast(f(once).agg(F.count(F.lit(1)).alias("twice"))))  # one row each
+        row = counts.select(F.lit(name).alias("strategy"), "once", "twice")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -136,6 +136,14 @@ def dq_sample(spark, d):
     return quality.sample(docs, every)
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CASE WHEN length(text) > 40 THEN substr(text, 1, 37) || '...' ELSE text END AS text FROM (SELECT * FROM documents WHERE n_chars < 1000 OR lang = 'fr' ORDER BY doc_id LIMIT 3)""")
+def dq_violation_sample(spark, d):
+    """The first rows that a check names: short texts, and those in one language."""
+    docs = Tables(spark, d).documents.select("doc_id", "lang", "text", "n_chars")
+    short = quality.custom("long_enough", lambda df: df.where("n_chars < 1000 OR lang = 'fr'").orderBy("doc_id").drop("n_chars"))
+    return quality.sample(docs, short)
+
+
 @query("SELECT column_name, column_type, n FROM (SELECT 'c_custkey' AS column_name, 'bigint' AS column_type UNION ALL SELECT 'c_name', 'string' UNION ALL SELECT 'c_nationkey', 'int' UNION ALL SELECT 'c_acctbal', 'double' UNION ALL SELECT 'c_mktsegment', 'string') c, (SELECT count(*) AS n FROM customer)".replace("column_type, n FROM", "column_type, n AS n_rows FROM"))
 def describe_table(spark, d):
     return profile.describe(Tables(spark, d).customer)
