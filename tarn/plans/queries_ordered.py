@@ -32,9 +32,9 @@ def cooldown_hot_key(spark, d):
     return ordered.cooldown(Tables(spark, d).events.select(key, "event_id", "ts"), "k", "ts", "event_id", 2 * 3600)
 
 
-@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS q0, round(quantile_cont(l_extendedprice, 0.5), 6) AS q1, round(quantile_cont(l_extendedprice, 0.95), 6) AS q2 FROM lineitem GROUP BY 1 UNION ALL SELECT 'order', quantile_cont(o_orderkey, 0.05), quantile_cont(o_orderkey, 0.5), quantile_cont(o_orderkey, 0.95) FROM orders")
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS q0, round(quantile_cont(l_extendedprice, 0.5), 6) AS q1, round(quantile_cont(l_extendedprice, 0.95), 6) AS q2 FROM lineitem GROUP BY 1 UNION ALL SELECT 'order', round(quantile_cont(o_orderkey, 0.05), 6), round(quantile_cont(o_orderkey, 0.5), 6), round(quantile_cont(o_orderkey, 0.95), 6) FROM orders")
 def quantiles_selected(spark, d):
-    """Exact quantiles by narrowing brackets, of prices by flag and of a column whose values all differ."""
+    """Exact quantiles by narrowing brackets, of prices by flag and of a column whose values all differ; to six places, all of them."""
     t = Tables(spark, d)
     rows = t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("v")).unionByName(t.orders.select(F.lit("order").alias("l_returnflag"), F.col("o_orderkey").cast("double").alias("v")))
     out = ordered.quantiles(rows, ["l_returnflag"], "v", [0.05, 0.5, 0.95], most=1000)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import merge, ordered, profile, retention, scd, sketches
+from tarn.plans.catalog import ORACLES, QUERIES
 from tarn.streaming import ingest
 
 
@@ -73,6 +75,17 @@ def test_quantiles_are_exact_within_small_brackets(spark):
         assert np.allclose(found[g], np.quantile(vs, at), atol=1e-12), g
 
 
+def test_selected_quantiles_equal_their_sql_to_the_last_bit(spark, tmp_path):
+    """Between far neighbours the two interpolations differ in the last bit: both sides round every row to six places."""
+    spark.range(100).selectExpr("id * 100000 AS o_orderkey").write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.range(100).selectExpr("'A' AS l_returnflag", "id * 100000.01D AS l_extendedprice").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["quantiles_selected"](spark, f"file://{tmp_path}").select("l_returnflag", "q0", "q1", "q2")
+    assert rows(got) == sorted(con.execute(ORACLES["quantiles_selected"]).fetchall())
+
+
 def test_sketches_follow_their_partitions(spark, tmp_path):
     root, table = f"file://{tmp_path}", "day_sketches"
     data = spark.range(20_000).select((F.col("id") % 4).cast("string").alias("p"), F.lit("all").alias("g"), (F.col("id") % 9000).alias("v"))
