@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tarn.storage import save, scope
 
+#: So many brackets of ``quantiles`` are broadcast: some 10 MB. More meet the values by a shuffle.
+FEW = 100_000
+
 
 def carry_forward(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, keep: bool = True) -> DataFrame:
     """``df`` with ``value`` of each row replaced by the last one that is not null at or before it, within ``by`` along ``order``.
@@ -124,12 +127,13 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, at: Sequence[float]
             *by, "w.q", ((F.col("n") - 1) * F.col("w.p")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("n").alias("inside"), F.lit(0).cast("bigint").alias("below"), "least", "most"
         )
         state = save(state, "brackets")
+        few = state.count() <= FEW
         match = F.col("lo") <= F.col("v")
         for _ in range(8):
             if not state.where(F.col("inside") > most).where("lo < hi").limit(1).count():
                 break
-            narrow = _narrowed(values, state, by, accuracy)
-            counted = _met(values, narrow, by).groupBy(*by, "q").agg(
+            narrow = save(_narrowed(values, state, by, accuracy, few), "narrowed")
+            counted = _met(values, narrow, by, few).groupBy(*by, "q").agg(
                 F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("below"), F.count(F.when(match & (F.col("v") <= F.col("hi")), 1)).alias("inside")
             )
             new = _met(narrow.drop("below", "inside"), counted, [*by, "q"])
@@ -143,32 +147,37 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, at: Sequence[float]
             state = after
             if same:
                 break
-        inside = _met(values, state, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        inside = _met(values, state, by, few).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         counts = inside.groupBy(*by, "q", "rank", "below", "v").agg(F.count(F.lit(1)).alias("c"))
         upto = Window.partitionBy(*by, "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ends = counts.withColumn("end", F.col("below") + F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
         hit = lambda r: F.max(F.when((F.col("start") <= r) & (r < F.col("end")), F.col("v")))
         found = ends.groupBy(*by, "q").agg(hit(F.floor("rank")).alias("a"), hit(F.ceil("rank")).alias("b"), F.first("rank").alias("rank"))
         part = F.col("rank") - F.floor("rank")
-        out = found.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * part)
+        # weighed as Spark's percentile does, to the last bit
+        out = found.withColumn("x", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part))
         return save(out.groupBy(*by).agg(*[F.max(F.when(F.col("q") == k, F.col("x"))).alias(f"q{k}") for k in range(len(at))]), "quantiles", keep=True)
 
 
-def _met(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe keys; the right side's keys go."""
+def _met(left: DataFrame, right: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
+    """Inner join on null-safe keys; the right side's keys go. With ``few`` the right side is broadcast, so that the left one stays where it is."""
     named = right.withColumnsRenamed({c: f"__r_{c}" for c in by})
     match = F.lit(True)
     for c in by:
         match &= F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(named, match).drop(*[f"__r_{c}" for c in by])
+    return left.join(F.broadcast(named) if few else named, match).drop(*[f"__r_{c}" for c in by])
+
 
+def _narrowed(values: DataFrame, state: DataFrame, by: Sequence[str], accuracy: int, few: bool) -> DataFrame:
+    """Brackets around each rank by a sketch of the values inside the old ones, two of its errors wide on both sides.
 
-def _narrowed(values: DataFrame, state: DataFrame, by: Sequence[str], accuracy: int) -> DataFrame:
-    """Brackets around each rank by a sketch of the values inside the old ones, two of its errors wide on both sides."""
-    inside = _met(values, state, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    Ranks with one bracket share its sketch; at first all of a group do.
+    """
+    spans = state.select(*by, "lo", "hi").distinct()
+    inside = _met(values, spans, by, few).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
     steps = [k / 1000 for k in range(1001)]
-    sketch = inside.groupBy(*by, "q").agg(F.percentile_approx("v", steps, accuracy).alias("marks"))
-    met = _met(state, sketch, [*by, "q"])
+    sketch = inside.groupBy(*by, "lo", "hi").agg(F.percentile_approx("v", steps, accuracy).alias("marks"))
+    met = _met(state, sketch, [*by, "lo", "hi"])
     place = (F.col("rank") - F.col("below")) / F.greatest(F.col("inside") - 1, F.lit(1)) * 1000
     low, high = F.greatest(F.floor(place) - 2, F.lit(0)), F.least(F.ceil(place) + 2, F.lit(1000))
     return met.select(

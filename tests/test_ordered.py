@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarn import storage
 from tarn.operators import merge, ordered, profile, retention, scd, sketches
 from tarn.plans.catalog import ORACLES, QUERIES
 from tarn.streaming import ingest
@@ -86,6 +87,30 @@ def test_selected_quantiles_equal_their_sql_to_the_last_bit(spark, tmp_path):
     assert rows(got) == sorted(con.execute(ORACLES["quantiles_selected"]).fetchall())
 
 
+def test_quantiles_leave_the_values_where_they_are(spark, monkeypatch):
+    """Few brackets are broadcast: no values are dealt by group, so no task sorts those of a large one. Many brackets meet them by a shuffle."""
+    df = spark.range(6000).select(F.when(F.col("id") % 50 == 0, "a").otherwise("b").alias("g"), F.col("id").cast("double").alias("v"))
+    shuffled = []
+
+    def spy(df, name="t", keep=False):
+        if name in ("narrowed", "brackets"):
+            shuffled.append(profile.plan_metrics(df).where("metric = 'shuffle records written'").agg(F.sum("value")).first()[0] or 0)
+        return storage.save(df, name, keep)
+
+    monkeypatch.setattr(ordered, "save", spy)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = rows(ordered.quantiles(df, ["g"], "v", [0.25, 0.5], most=2000))
+        few = max(shuffled)
+        monkeypatch.setattr(ordered, "FEW", 0)
+        assert rows(ordered.quantiles(df, ["g"], "v", [0.25, 0.5], most=2000)) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted((g, *np.quantile([v for v in range(6000) if (v % 50 == 0) == (g == "a")], [0.25, 0.5])) for g in "ab")
+    assert few < 600
+
+
 def test_sketches_follow_their_partitions(spark, tmp_path):
     root, table = f"file://{tmp_path}", "day_sketches"
     data = spark.range(20_000).select((F.col("id") % 4).cast("string").alias("p"), F.lit("all").alias("g"), (F.col("id") % 9000).alias("v"))
