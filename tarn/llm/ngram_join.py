@@ -41,7 +41,7 @@ LARGE = 4096
 #: Members of one star that a task compares with as many others at most, about.
 BLOCK = 2048
 #: About so many bytes of text for each bucket of signatures.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 20 << 20
 SKETCH_BITS, SKETCH_MOST = 512, 1 << 16
 #: Bits of the filter that spares texts without a candidate from being hashed again: the fewest, and the most that are broadcast (8 MB).
 FILTER_BITS = (1 << 20, 1 << 26)
@@ -138,7 +138,8 @@ def signatures(shingles: np.ndarray, fine: bool = False) -> np.ndarray:
     A subset of parts that holds no element says nothing, and unrelated small sets would share its
     signature, so it gives none. That loses no pair while enough partitions have no such subset: with s
     of them, s * (k2 + 1) above the largest difference, one agrees with the partner's and holds
-    elements of both. Where that fails, the set goes through another partition of the domain as well, and so
+    elements of both. Partitions after the first that make up enough are left out: ``most`` is of this set's own
+    partners, while the band has partitions for its largest. Where that fails, the set goes through another partition of the domain as well, and so
     on; its partner either has enough already, and then shares a signature, or goes on with it.
     """
     size = len(shingles)
@@ -157,7 +158,11 @@ def signatures(shingles: np.ndarray, fine: bool = False) -> np.ndarray:
             np.add.at(sums, at, value)
             held = (np.bincount(at, minlength=lv.n1 * lv.n2) > 0).astype(np.uint64).reshape(lv.n1, lv.n2) @ lv.pick > 0
             sigs = mix((sums.reshape(lv.n1, lv.n2) @ lv.pick) ^ lv.salt ^ np.uint64(depth << 56))
-            enough = int(held.all(1).sum()) * (lv.k2 + 1) > most
+            whole = np.flatnonzero(held.all(1))
+            need = most // (lv.k2 + 1) + 1
+            enough = len(whole) >= need
+            if enough:  # the partner goes through these partitions too, if it does not end before them with enough of its own
+                sigs, held = sigs[: whole[need - 1] + 1], held[: whole[need - 1] + 1]
             # after the last partition, which hardly any set gets to, the empty subsets are given too
             out.append(sigs.ravel() if depth + 1 == DEPTH and not enough else sigs[held])
             if enough:
@@ -194,6 +199,15 @@ PACKED = "bucket int, sigs binary, ids binary, counts binary, sizes binary, sket
 FOUND = "doc_id bigint, node bigint, n bigint, sketch array<bigint>, members array<bigint>"
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in one, two or four bytes each, as the largest needs; ``_widen`` tells which by how many there are."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max())) if numbers.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _widen(packed: bytes, many: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // many}").astype(np.int64)
+
+
 def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
     """Rows of signatures by bucket, and rows that describe documents (``sigs`` null)."""
 
@@ -209,7 +223,7 @@ def _packed(docs: DataFrame, buckets: int, fine: bool) -> DataFrame:
         for a, b in zip([0, *cuts], [*cuts, len(sig)]):
             mine, counts = np.unique(own[a:b], return_counts=True)
             low = sig[a:b].astype(np.uint32)  # what the bucket does not tell apart, two sketches do
-            yield int(bucket[a]), low.tobytes(), nodes[mine].tobytes(), counts.astype(np.uint32).tobytes(), sizes[mine].tobytes(), None
+            yield int(bucket[a]), low.tobytes(), nodes[mine].tobytes(), _narrow(counts), _narrow(sizes[mine]), None
 
     def about(held: list[tuple[int, int, int, np.ndarray | None]]) -> tuple:
         ids = np.array([[d, n] for d, n, _, _ in held], np.int64)
@@ -287,9 +301,10 @@ def _groups(packed: DataFrame, buckets: int) -> DataFrame:
                 docs += [(int(d), int(n), int(s), x, None) for (d, n), s, x in zip(ids, np.frombuffer(row["sizes"], np.uint32), row["sketches"])]
                 continue
             sigs.append(np.frombuffer(row["sigs"], np.uint32))
-            counts = np.frombuffer(row["counts"], np.uint32)
-            nodes.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
-            sizes.append(np.repeat(np.frombuffer(row["sizes"], np.uint32), counts))
+            ids = np.frombuffer(row["ids"], np.int64)
+            counts = _widen(row["counts"], len(ids))
+            nodes.append(np.repeat(ids, counts))
+            sizes.append(np.repeat(_widen(row["sizes"], len(ids)).astype(np.uint32), counts))
         if sigs:
             sig, node, size = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
             order = np.argsort(sig, kind="stable")

@@ -836,6 +836,18 @@ def test_stars_are_compared_in_bounded_cells(spark, monkeypatch):
     assert got == want
 
 
+def test_small_sets_of_a_band_give_fewer_signatures():
+    """A set goes through the partitions that its own partners need, not through all that the largest set of its band does."""
+    rng = np.random.default_rng(5)
+    for band in (6, 8, 10):
+        lv = ngram_join.level(band, False)
+        given = np.mean([len(ngram_join.signatures(np.unique(rng.integers(0, 2**64, lv.low + 3, dtype=np.uint64)))) for _ in range(100)])
+        assert given < 0.9 * lv.n1 * lv.salt.shape[1] * len(ngram_join.levels_of(lv.low + 3, False))
+    for numbers, width in (([1, 255], 1), ([1, 256], 2), ([0, 65535], 2), ([70000], 4)):
+        packed = ngram_join._narrow(np.array(numbers))
+        assert len(packed) == width * len(numbers) and ngram_join._widen(packed, len(numbers)).tolist() == numbers
+
+
 def test_finer_signatures_hold_more_of_a_set():
     share = lambda lv: (lv.n2 - lv.k2) / (lv.n2 * lv.n1)
     for band in range(14):
