@@ -111,6 +111,25 @@ def test_quantiles_leave_the_values_where_they_are(spark, monkeypatch):
     assert few < 600
 
 
+def test_quantiles_query_gathers_no_values(spark, sf_dir):
+    plan = QUERIES["quantiles"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_idempotence_is_checked_on_a_written_table(spark):
+    """The second run starts from the written result of the first; repeated rows count as often as they occur."""
+    existing, seen = spark.range(20).selectExpr("id % 5 AS k", "if(id % 3 = 0, NULL, id % 5) AS v"), []
+
+    def strategy(table, batch):
+        seen.append(table.inputFiles())
+        return table
+
+    assert merge.is_idempotent(strategy, existing, existing) and any("-once" in f for f in seen[1])
+    assert not merge.is_idempotent(merge.append_only, existing, existing)
+    turns = iter((0, 1))
+    assert not merge.is_idempotent(lambda e, b: b.where("k = 0").unionByName(b.where(f"k = {next(turns)}")), existing, existing)
+
+
 def test_sketches_follow_their_partitions(spark, tmp_path):
     root, table = f"file://{tmp_path}", "day_sketches"
     data = spark.range(20_000).select((F.col("id") % 4).cast("string").alias("p"), F.lit("all").alias("g"), (F.col("id") % 9000).alias("v"))
